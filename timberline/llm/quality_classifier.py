@@ -31,16 +31,17 @@ BUCKETS = 1 << 15
 SAMPLE_ROWS = 6000
 GOOD, BAD, NOTHING = 2, 1, 0
 
-#: Labellers: a ratio, bad from here on, good up to there (or the other way round where the first is smaller).
+#: Labellers: a ratio, the value from which on (or, for "below", up to which) it votes bad, and the value from which on it votes good, if it does.
 LABELLERS = {
-    "length": ("log_words", np.log1p(10), np.log1p(30)),
-    "symbols": ("symbols", 0.15, 0.05),
-    "repeated": ("repeated", 0.35, 0.15),
-    "same_as_before": ("same_as_before", 0.15, 0.03),
-    "dup_lines": ("dup_lines", 0.4, 0.1),
-    "distinct": ("distinct", 0.12, 0.25),
-    "letters": ("letters", 0.70, 0.85),
-    "word_length": ("chars_a_word", 2.0, 3.5),
+    "length": ("log_words", "below", np.log1p(2), None),
+    "symbols": ("symbols", "above", 0.15, None),
+    "repeated": ("repeated", "above", 0.5, None),
+    "same_as_before": ("same_as_before", "above", 0.2, None),
+    "dup_lines": ("dup_lines", "above", 0.5, None),
+    "distinct": ("distinct", "below", 0.15, 0.6),
+    "letters": ("letters", "below", 0.78, 0.95),
+    "word_length": ("chars_a_word", "below", 2.0, None),
+    "shouting": ("shouting", "above", 0.5, None),
 }
 
 
@@ -48,10 +49,10 @@ def votes(ratio: np.ndarray) -> np.ndarray:
     """Rows x labellers: GOOD, BAD or NOTHING."""
     columns = list(RATIOS)
     out = np.zeros((len(ratio), len(LABELLERS)), np.int64)
-    for k, (name, bad, good) in enumerate(LABELLERS.values()):
+    for k, (name, side, bad, good) in enumerate(LABELLERS.values()):
         x = ratio[:, columns.index(name)]
-        is_bad, is_good = (x <= bad, x >= good) if bad < good else (x >= bad, x <= good)
-        out[:, k] = np.where(is_bad, BAD, np.where(is_good, GOOD, NOTHING))
+        is_good = x >= good if good is not None else np.zeros(len(x), bool)
+        out[:, k] = np.where(x <= bad if side == "below" else x >= bad, BAD, np.where(is_good, GOOD, NOTHING))
     return out
 
 
@@ -70,7 +71,7 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> n
     w = np.asarray(counts, float)
     if not len(w):
         return np.zeros(0)
-    good = np.clip(0.5 + 0.5 * ((v == GOOD).sum(1) - 3 * (v == BAD).sum(1)) / len(LABELLERS), 0.02, 0.98)
+    good = np.where((v == BAD).any(1), 0.1, 0.9)
     for _ in range(rounds):
         share = np.clip((w @ good) / w.sum(), 0.01, 0.99)
         logit = np.full(len(w), np.log(share / (1 - share)))

@@ -14,11 +14,12 @@ from .batches import blocks, flat
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_chars", "n_lines", "n_distinct_words", "n_letters", "n_digits", "n_same_as_before", "n_line_ends"]
+MORE = ["n_chars", "n_lines", "n_distinct_words", "n_letters", "n_digits", "n_same_as_before", "n_line_ends", "n_upper"]
 
-_TABLES = {name: np.zeros(256, np.int64) for name in ("symbols", "letters", "digits", "starts")}
+_TABLES = {name: np.zeros(256, np.int64) for name in ("symbols", "letters", "digits", "upper", "starts")}
 _TABLES["symbols"][list(SYMBOLS)] = 1
 _TABLES["letters"][[*range(65, 91), *range(97, 123), *range(0xC2, 0xF5)]] = 1
+_TABLES["upper"][range(65, 91)] = 1
 _TABLES["digits"][list(b"0123456789")] = 1
 _TABLES["starts"][[b for b in range(256) if b & 0xC0 != 0x80]] = 1
 
@@ -35,7 +36,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     hasher = words.Hasher(data)
     each = hasher(starts, ends)
     own = words.mix(np.arange(len(offsets) - 1, dtype=np.uint64) + np.uint64(0x51ED27))
-    out = {"n_words": np.diff(owner), "n_symbols": _sums("symbols", data, offsets), "n_letters": _sums("letters", data, offsets), "n_digits": _sums("digits", data, offsets), "n_chars": _sums("starts", data, offsets)}
+    out = {"n_words": np.diff(owner), "n_symbols": _sums("symbols", data, offsets), "n_letters": _sums("letters", data, offsets), "n_digits": _sums("digits", data, offsets), "n_upper": _sums("upper", data, offsets), "n_chars": _sums("starts", data, offsets)}
     blank = np.concatenate([[0], np.cumsum(words.IS_BLANK[data])])
     out["word_chars"] = out["n_chars"] - (blank[offsets[1:]] - blank[offsets[:-1]])
 
@@ -90,6 +91,7 @@ RATIOS = {
     "distinct": lambda c: c["n_distinct_words"] / np.maximum(1, c["n_words"]),
     "letters": lambda c: c["n_letters"] / np.maximum(1, c["word_chars"]),
     "digits": lambda c: c["n_digits"] / np.maximum(1, c["word_chars"]),
+    "shouting": lambda c: c["n_upper"] / np.maximum(1, c["n_letters"]),
     "same_as_before": lambda c: c["n_same_as_before"] / np.maximum(1, c["n_words"]),
     "line_ends": lambda c: c["n_line_ends"] / np.maximum(1, c["n_lines"]),
     "words_a_line": lambda c: np.log1p(c["n_words"] / np.maximum(1, c["n_lines"])),
