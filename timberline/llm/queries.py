@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, media_columns, mixing, quality_classifier, quality_rules, token_counts
+from . import byte_bpe, language_id, line_dedup, media_columns, mixing, ngram_join, quality_classifier, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
@@ -40,6 +44,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(documents(spark, sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_media(documents(spark, sf_dir)).drop("position", "caption")
 
@@ -49,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_quality_rules, op4_quality_classifier, op6_byte_bpe, op7_language_id, op9_media_columns, op10_mixing]
+    found = [op1_token_counts, op2_quality_rules, op4_quality_classifier, op5_line_dedup, op6_byte_bpe, op7_language_id, op8_ngram_join, op9_media_columns, op10_mixing]
     return {f.__name__: f for f in found}
 
 
