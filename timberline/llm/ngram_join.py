@@ -250,3 +250,22 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     found = similar_components(docs, n, percent, id_col, text_col).filter(F.col("component_id") != F.col(id_col))
     gone = found.select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
+def sql(n: int = 4, percent: int = 85) -> str:
+    """similar_components on `documents` as DuckDB SQL."""
+    return f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < {n} then [array_to_string(ws, ' ')]
+    else [array_to_string(ws[k:k + {n - 1}], ' ') for k in range(1, len(ws) - {n - 2})] end) as g from w),
+c as (select w.doc_id, count(s.g) as size from w left join s on w.doc_id = s.doc_id group by w.doc_id),
+o as (select x.doc_id as a, y.doc_id as b, count(*) as both_ from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+l as (
+  select o.a, o.b from o join c p on p.doc_id = o.a join c q on q.doc_id = o.b
+  where 100 * o.both_ >= {percent} * (p.size + q.size - o.both_)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+m as (select a, min(b) as b from r group by a)
+select c.doc_id, cast(c.size as bigint) as n_shingles, least(c.doc_id, coalesce(m.b, c.doc_id)) as component_id
+from c left join m on m.a = c.doc_id"""

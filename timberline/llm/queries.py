@@ -62,4 +62,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.sql()}
+    return {"op8_ngram_join": ngram_join.sql(), "op10_mixing": mixing.sql()}
