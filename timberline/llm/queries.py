@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, line_dedup, media_columns, mixing, ngram_join, quality_classifier, quality_rules, token_counts
+from . import byte_bpe, language_id, line_dedup, media_columns, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut(documents(spark, sf_dir)).drop("kept", "removed_spans")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_quality_rules, op4_quality_classifier, op5_line_dedup, op6_byte_bpe, op7_language_id, op8_ngram_join, op9_media_columns, op10_mixing]
+    found = [op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_quality_classifier, op5_line_dedup, op6_byte_bpe, op7_language_id, op8_ngram_join, op9_media_columns, op10_mixing]
     return {f.__name__: f for f in found}
 
 
