@@ -76,8 +76,6 @@ DEPARTMENTS = [
     ("CABINETS", ["cabinet", "kitchen"]), ("OFFICE", ["office", "desk"]), ("OUTDOOR", ["outdoor", "poly"]),
 ]
 
-NOTHING = F.lit(None).cast("string")
-
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The table's value for key, null if it has none."""
@@ -96,14 +94,14 @@ def stripped(x: Column) -> Column:
 def clean_text(x: Column) -> Column:
     """Plain quotes and dashes, single blanks; null where nothing is left or it spells a missing value."""
     s = squeeze(F.translate(x, FANCY, PLAIN))
-    return F.when((s == "") | F.lower(s).isin(MISSING), NOTHING).otherwise(s)
+    return F.when((s == "") | F.lower(s).isin(MISSING), None).otherwise(s)
 
 
 def finish(x: Column) -> Column:
     s = F.lower(stripped(x))
     known = lookup(s, FINISHES)
     guess = F.when(s.contains("unf"), "unfinished").when(s.contains("glaz"), "glazed").when(s.contains("fin"), "finished")
-    return F.when((s == "") | s.isin(MISSING), NOTHING).otherwise(F.coalesce(known, guess))
+    return F.when((s == "") | s.isin(MISSING), None).otherwise(F.coalesce(known, guess))
 
 
 def part(x: Column) -> Column:
@@ -153,10 +151,10 @@ def species(x: Column) -> Column:
     joined = F.nullif(F.array_join(woods(plain), " / "), F.lit(""))
     joined = F.regexp_replace(F.regexp_replace(joined, r"(?i)\bqswo\b", "QSWO"), r"(?i)\bqs\b", "QS")
     return (
-        F.when(raw.isNull() | (base == ""), NOTHING)
+        F.when(raw.isNull() | (base == ""), None)
         .when(base.rlike(r"(?i)^(finished|unfinished|finshed)$"), F.concat(F.lit("Wood Tier "), F.coalesce(index, F.lit("1"))))
         .when(tier.isNotNull(), F.concat(F.lit("Wood Tier "), tier))
-        .when(junk, NOTHING)
+        .when(junk, None)
         .when(surface, F.when(even, titled(base)).otherwise(base))
         .otherwise(F.coalesce(lookup(F.lower(base), SIZES), joined))
     )
