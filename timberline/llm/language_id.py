@@ -30,6 +30,8 @@ from .words import IS_BLANK
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
+#: Logits are added up as multiples of 1 / STEPS.
+STEPS = 1 << 24
 #: Training takes about so many labelled rows, by a digest of their ids; the driver holds no more.
 SAMPLE_ROWS = 4000
 #: A prediction is accepted if its calibrated score is at least that of all but this share of right ones.
@@ -61,21 +63,22 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def text_logits(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Average of the table's rows over each text's subwords."""
+    """Average of the table's rows over each text's subwords, in exact steps, so that equal texts have equal averages."""
+    table = np.rint(table.astype(np.float64) * STEPS).astype(np.int64)
     folded = _FOLD[data].astype(np.uint32)
     n, texts = len(folded), len(offsets) - 1
-    total, count = np.zeros((texts, table.shape[1])), np.zeros(texts)
+    total, count = np.zeros((texts, table.shape[1]), np.int64), np.zeros(texts)
     code = folded.copy()
     for size in (2, 3, 4):
         if n < size:
             break
         code[: n - size + 1] |= folded[size - 1 :] << np.uint32(8 * (size - 1))
         rows = table[(((code[: n - size + 1] * np.uint32(0x9E3779B1)) ^ np.uint32(size * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)) >> np.uint32(16)]
-        sums = np.vstack([np.zeros((1, table.shape[1])), np.cumsum(rows, 0, dtype=np.float64)])
+        sums = np.vstack([np.zeros((1, table.shape[1]), np.int64), np.cumsum(rows, 0)])
         last = np.maximum(np.minimum(offsets[1:] - size + 1, n - size + 1), offsets[:-1].clip(max=n - size + 1))
         total += sums[last] - sums[offsets[:-1].clip(max=n - size + 1)]
         count += np.maximum(0, np.diff(offsets) - size + 1)
-    return total / np.maximum(count, 1)[:, None]
+    return total / (STEPS * np.maximum(count, 1)[:, None])
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:

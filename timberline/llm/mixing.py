@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .durable import written
+from .rows import put_away, taken_out
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -113,10 +114,9 @@ def decisions(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col:
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it; same columns."""
     table = _sources(plan(docs, seed, id_col, text_col, source_col))
-    columns = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_from"))
+    rows = put_away(docs, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_from"))
     rows = sized(rows, seed, "_id", "_text", "_from").join(table, F.col("_from").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select(*columns)
+    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select(*taken_out(docs.columns))
 
 
 def sql(seed: int = 17) -> str:

@@ -36,6 +36,7 @@ from .batches import blocks, flat
 from .buckets import grouped, id_filter, may_hold, neighbours
 from .components import components
 from .durable import written
+from .rows import put_away, taken_out
 
 #: Counters of the sketch, a power of two; the table of classes that is broadcast has as many bytes.
 SLOTS = 1 << 18
@@ -249,7 +250,8 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     """The rows of docs with the least id of each component, all columns; rows with an empty set stay."""
     found = similar_components(docs, n, percent, id_col, text_col).filter(F.col("component_id") != F.col(id_col))
     gone = found.select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    all_rows = put_away(docs, F.col(id_col).cast("long").alias("_id"))
+    return all_rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select(*taken_out(docs.columns))
 
 
 def sql(n: int = 4, percent: int = 85) -> str:
