@@ -26,8 +26,8 @@ def neighbours(key: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.nda
     yield first[right], right
 
 
-def grouped(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal first column, from batches sorted by it; a run of more than `most` rows comes in parts that share their first row and the rows next to the cut."""
+def grouped(batches: Iterator[pa.RecordBatch], most: int | None = 2_000_000) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal first column, from batches sorted by it; a run of more than `most` rows, if given, comes in parts that share their first row and the rows next to the cut."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -43,7 +43,7 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterato
         if cut:
             yield table.slice(0, cut)
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        elif rows >= most:
+        elif most is not None and rows >= most:
             yield table
             held = [*table.slice(0, 1).to_batches(), *table.slice(table.num_rows - 8).to_batches()]
             rows = 9

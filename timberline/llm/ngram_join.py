@@ -95,8 +95,28 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
 
 
+def histograms(found: np.ndarray, owner: np.ndarray) -> list[bytes]:
+    """For each set how many of its hashes fall into each of so many bins, four a bin; 255 stands for 255 or more."""
+    size = np.diff(owner)
+    bins = np.left_shift(1, np.ceil(np.log2(np.maximum(size // 4, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bins)])
+    of = np.repeat(np.arange(len(size)), size)
+    at = start[of] + ((found >> np.uint64(20)) & (bins[of] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.bincount(at, minlength=start[-1]).clip(max=255).astype(np.uint8).tobytes()
+    return [raw[a:b] for a, b in zip(start.tolist(), start[1:].tolist(), strict=False)]
+
+
+def shared_at_most(x: bytes, y: bytes) -> int:
+    """An upper bound of the size of the intersection of two sets with these histograms."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    for v in (a, b):
+        v[v == 255] = 1 << 32
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, n).sum(0), b.reshape(-1, n).sum(0)).sum())
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, s1, s2, prefix): s1 and s2 digest the whole set, prefix holds its first shingles as little-endian u8."""
+    """(id, size, s1, s2, prefix, bins): s1 and s2 digest the whole set, prefix holds its first shingles as little-endian u8, bins its histogram."""
     sent = docs.sparkSession.sparkContext.broadcast(common_classes(docs, n, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +133,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 ranked = found[order]
                 raw, lengths = ranked.astype("<u8").tobytes(), prefix_length(size, percent)
                 first = [raw[8 * s : 8 * (s + k)] for s, k in zip(owner[:-1].tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(first, pa.binary())], ["id", "size", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(first, pa.binary()), pa.array(histograms(found, owner), pa.binary())], ["id", "size", "s1", "s2", "prefix", "bins"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, size long, s1 long, s2 long, prefix binary")
+    return rows.mapInArrow(run, "id long, size long, s1 long, s2 long, prefix binary, bins binary")
 
 
 def tokens_of(groups: DataFrame) -> DataFrame:
@@ -147,26 +167,66 @@ def first_pairs(tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """All pairs of groups that share a shingle, may be similar by size and lie in different components."""
+    """All pairs of groups that share a shingle, may be similar by size and lie in different components.
+
+    One of such a pair is not in the component that most rows of the shingle
+    are in, so only those rows look for partners.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches):
+        for table in grouped(batches, most=None):
             key, size, grp, component = (table.column(k).to_numpy() for k in range(4))
-            n = len(key)
-            open_ = np.arange(n)  # rows whose partner at distance k may still share the key and be near in size
-            k = 0
-            while len(open_):
-                k += 1
-                open_ = open_[open_ + k < n]
-                open_ = open_[(key[open_] == key[open_ + k]) & (100 * size[open_] >= percent * size[open_ + k])]
-                differ = open_[component[open_] != component[open_ + k]]
-                if len(differ):
-                    x, y = grp[differ], grp[differ + k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    mixed = tokens.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("token")
-    rows = tokens.join(mixed, "token").select("token", "size", "grp", "component")
-    return rows.repartition("token").sortWithinPartitions("token", "size", "grp").mapInArrow(run, "a long, b long").distinct()
+            for left, right in _strangers(key, size, component, percent):
+                x, y = grp[left], grp[right]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return tokens.repartition("token").sortWithinPartitions("token", "size", "grp").mapInArrow(run, "a long, b long").distinct()
+
+
+def _strangers(key: np.ndarray, size: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of equal key, near size and different component, from rows sorted by key and size."""
+    n = len(key)
+    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    order = np.lexsort((component, run))
+    new = np.ones(n, bool)
+    new[1:] = (run[order][1:] != run[order][:-1]) | (component[order][1:] != component[order][:-1])
+    first = np.flatnonzero(new)
+    count, of = np.diff(np.append(first, n)), run[order[first]]
+    top = np.lexsort((-count, of))
+    largest = component[order[first[top[np.unique(of[top], return_index=True)[1]]]]]
+    strange = np.flatnonzero(component != largest[run])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for step in (1, -1):
+        open_, k = strange, 0
+        while len(open_):
+            k += step
+            open_ = open_[(open_ + k >= 0) & (open_ + k < n)]
+            low, high = np.minimum(open_, open_ + k), np.maximum(open_, open_ + k)
+            near = (key[low] == key[high]) & (100 * size[low] >= percent * size[high])
+            open_, low, high = open_[near], low[near], high[near]
+            differ = component[low] != component[high]
+            held.append((low[differ], high[differ]))
+            if sum(len(x) for x, _ in held) > 200_000 or len(held) > 1000:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+                held = []
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes whose histograms allow them to be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            ok = []
+            for k in range(batch.num_rows):
+                most = min(shared_at_most(x[k], y[k]), m[k], n[k])
+                ok.append(100 * most >= percent * (m[k] + n[k] - most))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (classes.select(F.col("s1").alias(c), F.col("size").alias(f"{c}_size"), F.col("bins").alias(f"{c}_bins")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins").mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: np.ndarray, n: int, text_col: str) -> DataFrame:
@@ -209,7 +269,7 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     """(id, n_shingles, component_id) of every row; component_id: the least id reachable by links."""
     rows = written(prefixes(docs, n, percent, id_col, text_col))
     # a class is named by s1, a group by a digest of its prefix and size
-    classes = rows.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"))
+    classes = rows.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     classes = written(classes.withColumn("grp", F.xxhash64("prefix", "size")))
     members = classes.select(F.col("s1").alias("class"), "grp", "size")
     groups = written(classes.groupBy("grp", "size").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("classes")))
@@ -222,7 +282,7 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         return pairs.join(x, "a").join(y, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs)
+        pairs = written(possible(pairs, classes, percent))
         wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
         return written(verified(pairs, full_sets(docs, wanted, n, text_col), percent))
 
