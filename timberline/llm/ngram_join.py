@@ -11,11 +11,16 @@ Texts with equal sets are one class; classes with equal prefixes and sizes are
 one group, and only groups meet in the join:
 
 1.  The groups that share a prefix shingle meet with their neighbours in the
-    order of sizes and with the first.  The classes of candidate groups are
-    verified on their full sets and linked groups are united.
-2.  Groups that share a prefix shingle but lie in different components meet
-    in full, so no link between different components is missed; links inside
-    a component add nothing to it and are not looked for.
+    order of sizes and with the first.  The first classes of candidate groups,
+    and each group's classes with its first, are verified on their full sets,
+    and what is linked is united.
+2.  Groups are expanded to their classes.  Classes that share a prefix shingle
+    but lie in different components meet in full, so no link between different
+    components is missed; links inside a component add nothing to it and are
+    not looked for.
+
+Before sets are compared, histograms of the sets tell which pairs can be
+similar at all; they bound the intersection from above, so no link is lost.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; a text of fewer words than a shingle has one shingle of all its
@@ -41,6 +46,8 @@ from .rows import put_away, taken_out
 #: Counters of the sketch, a power of two; the table of classes that is broadcast has as many bytes.
 SLOTS = 1 << 18
 REACH = 2
+#: Bins of the histogram that meets others within a bucket, a power of two.
+FOLD = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,6 +113,14 @@ def histograms(found: np.ndarray, owner: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(start.tolist(), start[1:].tolist(), strict=False)]
 
 
+def sketches(found: np.ndarray, owner: np.ndarray) -> pa.Array:
+    """The same with FOLD bins for every set."""
+    of = np.repeat(np.arange(len(owner) - 1), np.diff(owner))
+    at = of * FOLD + ((found >> np.uint64(20)) & np.uint64(FOLD - 1)).astype(np.int64)
+    raw = np.bincount(at, minlength=FOLD * (len(owner) - 1)).clip(max=255).astype(np.uint8).tobytes()
+    return pa.array([raw[k : k + FOLD] for k in range(0, len(raw), FOLD)], pa.binary())
+
+
 def shared_at_most(x: bytes, y: bytes) -> int:
     """An upper bound of the size of the intersection of two sets with these histograms."""
     a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
@@ -116,7 +131,7 @@ def shared_at_most(x: bytes, y: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, s1, s2, prefix, bins): s1 and s2 digest the whole set, prefix holds its first shingles as little-endian u8, bins its histogram."""
+    """(id, size, s1, s2, prefix, bins, fold): s1 and s2 digest the whole set, prefix holds its first shingles as little-endian u8, bins and fold its histograms."""
     sent = docs.sparkSession.sparkContext.broadcast(common_classes(docs, n, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,23 +148,22 @@ def prefixes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 ranked = found[order]
                 raw, lengths = ranked.astype("<u8").tobytes(), prefix_length(size, percent)
                 first = [raw[8 * s : 8 * (s + k)] for s, k in zip(owner[:-1].tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(first, pa.binary()), pa.array(histograms(found, owner), pa.binary())], ["id", "size", "s1", "s2", "prefix", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(first, pa.binary()), pa.array(histograms(found, owner), pa.binary()), sketches(found, owner)], ["id", "size", "s1", "s2", "prefix", "bins", "fold"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, size long, s1 long, s2 long, prefix binary, bins binary")
+    return rows.mapInArrow(run, "id long, size long, s1 long, s2 long, prefix binary, bins binary, fold binary")
 
 
-def tokens_of(groups: DataFrame) -> DataFrame:
-    """(token, size, grp, component), one row for each shingle of a group's prefix."""
+def tokens_of(groups: DataFrame, *columns: str) -> DataFrame:
+    """(token, *columns), one row for each shingle of a row's prefix; all columns are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = flat(batch.column(3))
-            times = np.diff(offsets) // 8
-            at = pa.array(np.repeat(np.arange(batch.num_rows), times))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), "<i8")), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], ["token", "size", "grp", "component"])
+            raw, offsets = flat(batch.column(0))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), "<i8")), *(batch.column(k).take(at) for k in range(1, batch.num_columns))], ["token", *columns])
 
-    return groups.select("size", "grp", "component", "prefix").mapInArrow(run, "token long, size long, grp long, component long")
+    return groups.select("prefix", *columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("token", *columns)))
 
 
 def first_pairs(tokens: DataFrame, percent: int) -> DataFrame:
@@ -163,28 +177,45 @@ def first_pairs(tokens: DataFrame, percent: int) -> DataFrame:
                 x, y = grp[left[near]], grp[right[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return tokens.repartition("token").sortWithinPartitions("token", "size", "grp").select("token", "size", "grp").mapInArrow(run, "a long, b long").distinct()
+    return tokens.repartition("token").sortWithinPartitions("token", "size", "grp").mapInArrow(run, "a long, b long").distinct()
+
+
+def mixed(tokens: DataFrame) -> DataFrame:
+    """(token, class) of the shingles whose classes are not all in one component; tokens: (token, class, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, most=None):
+            key, component = table.column(0).to_numpy(), table.column(2).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            many = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
+            some = pa.array(np.repeat(many, np.diff(np.append(first, len(key)))))
+            yield from table.select(["token", "class"]).filter(some).to_batches()
 
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, class long")
 
-def cross_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """All pairs of groups that share a shingle, may be similar by size and lie in different components.
 
-    One of such a pair is not in the component that most rows of the shingle
-    are in, so only those rows look for partners.
+def cross_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of classes that share a shingle, may be similar by size and sketch and lie in different components.
+
+    One of such a pair is not in the component that most classes of the
+    shingle are in, so only those classes look for partners.  They find all of
+    them, or, if only the best is asked for, the one whose sketch is nearest.
+    rows: (token, size, class, component, fold).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, most=None):
-            key, size, grp, component = (table.column(k).to_numpy() for k in range(4))
-            for left, right in _strangers(key, size, component, percent):
-                x, y = grp[left], grp[right]
+            key, size, name, component = (table.column(k).to_numpy() for k in range(4))
+            fold = np.frombuffer(flat(table.column(4))[0], np.uint8).reshape(-1, FOLD)
+            for left, right in _strangers(key, size, component, fold, percent, best):
+                x, y = name[left], name[right]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return tokens.repartition("token").sortWithinPartitions("token", "size", "grp").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(run, "a long, b long").distinct()
 
 
-def _strangers(key: np.ndarray, size: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of equal key, near size and different component, from rows sorted by key and size."""
+def _strangers(key: np.ndarray, size: np.ndarray, component: np.ndarray, fold: np.ndarray, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of equal key, near size, possible sketch and different component, from rows sorted by key and size."""
     n = len(key)
     run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     order = np.lexsort((component, run))
@@ -195,6 +226,7 @@ def _strangers(key: np.ndarray, size: np.ndarray, component: np.ndarray, percent
     top = np.lexsort((-count, of))
     largest = component[order[first[top[np.unique(of[top], return_index=True)[1]]]]]
     strange = np.flatnonzero(component != largest[run])
+    score, partner = np.zeros(n, np.int64), np.full(n, -1)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for step in (1, -1):
         open_, k = strange, 0
@@ -202,14 +234,27 @@ def _strangers(key: np.ndarray, size: np.ndarray, component: np.ndarray, percent
             k += step
             open_ = open_[(open_ + k >= 0) & (open_ + k < n)]
             low, high = np.minimum(open_, open_ + k), np.maximum(open_, open_ + k)
-            near = (key[low] == key[high]) & (100 * size[low] >= percent * size[high])
-            open_, low, high = open_[near], low[near], high[near]
-            differ = component[low] != component[high]
-            held.append((low[differ], high[differ]))
-            if sum(len(x) for x, _ in held) > 200_000 or len(held) > 1000:
-                yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-                held = []
-    if held:
+            open_ = open_[(key[low] == key[high]) & (100 * size[low] >= percent * size[high])]
+            one = open_[component[open_] != component[open_ + k]]
+            two = one + k
+            x, y = fold[one], fold[two]
+            most = np.where((x == 255) | (y == 255), np.maximum(x, y), np.minimum(x, y)).sum(1, dtype=np.int64)
+            most[((x == 255) | (y == 255)).any(1)] = 1 << 40  # a bin of unknown height bounds nothing
+            most = np.minimum(most, np.minimum(size[one], size[two]))
+            ok = 100 * most >= percent * (size[one] + size[two] - most)
+            one, two, most = one[ok], two[ok], most[ok]
+            if best:
+                more = most > score[one]
+                score[one[more]], partner[one[more]] = most[more], two[more]
+            elif len(one):
+                held.append((one, two))
+                if sum(len(x) for x, _ in held[-50:]) > 200_000 or len(held) > 1000:
+                    yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+                    held = []
+    if best:
+        found = np.flatnonzero(partner >= 0)
+        yield found, partner[found]
+    elif held:
         yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
 
 
@@ -269,16 +314,18 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     """(id, n_shingles, component_id) of every row; component_id: the least id reachable by links."""
     rows = written(prefixes(docs, n, percent, id_col, text_col))
     # a class is named by s1, a group by a digest of its prefix and size
-    classes = rows.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+    classes = rows.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"), F.first("fold").alias("fold"))
     classes = written(classes.withColumn("grp", F.xxhash64("prefix", "size")))
     members = classes.select(F.col("s1").alias("class"), "grp", "size")
     groups = written(classes.groupBy("grp", "size").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("classes")))
     inner = members.join(groups.filter("classes > 1").select("grp"), "grp")
     star = inner.groupBy("grp").agg(F.min("class").alias("a"))
 
+    heads = classes.groupBy("grp").agg(F.min("s1").alias("head"))
+
     def expand(pairs: DataFrame) -> DataFrame:
-        """Pairs of groups to pairs of their classes."""
-        x, y = members.select(F.col("grp").alias("a"), F.col("class").alias("ca")), members.select(F.col("grp").alias("b"), F.col("class").alias("cb"))
+        """Pairs of groups to pairs of their first classes; the others hang on these, or meet one by one in the second step."""
+        x, y = heads.select(F.col("grp").alias("a"), F.col("head").alias("ca")), heads.select(F.col("grp").alias("b"), F.col("head").alias("cb"))
         return pairs.join(x, "a").join(y, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -286,17 +333,23 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
         wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
         return written(verified(pairs, full_sets(docs, wanted, n, text_col), percent))
 
-    tokens = tokens_of(groups.withColumn("component", F.lit(0).cast("long")))
+    tokens = tokens_of(groups, "size", "grp")
     inside = inner.join(star, "grp").filter("class != a").select("a", F.col("class").alias("b"))
     links = verify(expand(first_pairs(tokens, percent)).union(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     found = written(components(links))
-    # what may still join two components: classes take the place of groups
-    now = classes.join(found, classes["s1"] == found["node"], "left").select("size", F.col("s1").alias("grp"), F.coalesce("component", "s1").alias("component"), "prefix")
-    rest = written(cross_pairs(tokens_of(now), percent).join(links, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
+    # what may still join two components: classes take the place of groups; first each meets its best partner, then all
+
+    def now() -> DataFrame:
+        named = classes.join(found, classes["s1"] == found["node"], "left")
+        return named.select(F.col("s1").alias("class"), "size", F.coalesce("component", "s1").alias("component"), "fold", "prefix")
+
+    open_ = written(mixed(tokens_of(now(), "class", "component")))
+    for best in (True, False):
+        rest = cross_pairs(open_.join(now(), "class").select("token", "size", "class", "component", "fold"), percent, best)
         more = verify(rest)
         if not more.isEmpty():
-            found = written(components(links.union(more)))
+            links = links.union(more)
+            found = written(components(links))
     # names of components become least ids
     tops = classes.join(found, classes["s1"] == found["node"], "left").select("s1", "s2", F.coalesce("component", "s1").alias("component"), "least")
     least = tops.groupBy("component").agg(F.min("least").alias("component_id"))
