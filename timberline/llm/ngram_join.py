@@ -360,11 +360,21 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the least id of each component, all columns; rows with an empty set stay."""
-    found = similar_components(docs, n, percent, id_col, text_col).filter(F.col("component_id") != F.col(id_col))
-    gone = found.select(F.col(id_col).alias("_gone")).distinct()
-    all_rows = put_away(docs, F.col(id_col).cast("long").alias("_id"))
-    return all_rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select(*taken_out(docs.columns))
+    """The row of docs with the least id of each component, all columns; rows with an empty set stay.
+
+    Rows are told apart by a hash of id and text; of rows equal in both, one stays at most.  Null ids come first.
+    """
+    number, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rid = F.xxhash64(number, number.isNull(), text)
+    rows = docs.select(rid.alias("rid"), number.alias("id"), text.alias("text"))
+    found = written(similar_components(rows, n, percent, "rid", "text").filter("n_shingles > 0").groupBy("rid", "component_id").agg(F.count(F.lit(1)).alias("n")))
+    first = found.join(rows.select("rid", "id").distinct(), "rid").groupBy("component_id").agg(F.min(F.struct("id", "rid")).getField("rid").alias("first"))
+    # rows that go, and rows of which one stays
+    other = written(found.join(first, "component_id").filter("rid != first or n > 1").select(F.col("rid").alias("_other"), (F.col("rid") == F.col("first")).alias("_one")))
+    all_rows = put_away(docs, rid.alias("_rid"))
+    alone = all_rows.join(other, F.col("_rid") == F.col("_other"), "left_anti").select("_row")
+    one = all_rows.join(other.filter("_one"), F.col("_rid") == F.col("_other"), "left_semi").groupBy("_rid").agg(F.first("_row").alias("_row")).select("_row")
+    return alone.union(one).select(*taken_out(docs.columns))
 
 
 def sql(n: int = 4, percent: int = 85) -> str:
