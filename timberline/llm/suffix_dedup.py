@@ -167,7 +167,7 @@ def settled(texts: DataFrame, length: int) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
-        for table in grouped(batches):
+        for table in grouped(batches, most=None):
             part = table.column(0).to_numpy()
             names, counts, pieces = table.column(1).to_pylist(), table.column(2).to_pylist(), table.column(3).to_pylist()
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
@@ -184,7 +184,28 @@ def settled(texts: DataFrame, length: int) -> DataFrame:
                 keep = [k for k, f in enumerate(found) if f]
                 yield pa.RecordBatch.from_arrays([pa.array([names[x + k] for k in keep], pa.int64()), pa.array([found[k] for k in keep], kind)], ["run", "again"])
 
-    return texts.repartition("part").sortWithinPartitions("part", "run").mapInArrow(solve, "run long, again array<struct<at: int, n: int>>")
+    name, count, piece = texts.columns[1:4]
+    large = texts.groupBy("part").agg(F.sum(F.octet_length(piece)).alias("bytes")).filter(F.col("bytes") > SHARD_BYTES).select("part")
+    large = written(large)
+    small = texts.join(large, "part", "left_anti").repartition("part").sortWithinPartitions("part", "run").mapInArrow(solve, "run long, again array<struct<at: int, n: int>>")
+    return small.union(settled_apart(texts.join(large, "part", "left_semi").select("part", name, count, piece), length))
+
+
+def settled_apart(texts: DataFrame, length: int) -> DataFrame:
+    """As settled(), for parts too large for a task: the digests of all strings are counted by Spark."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, run, n, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for low in range(0, n, 100_000):
+                    at = np.arange(low, min(n, low + 100_000))
+                    h = words.Hasher(np.frombuffer(piece, np.uint8)[low : at[-1] + length])(at - low, at - low + length).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(h), pa.array(np.full(len(at), run)), pa.array(at.astype(np.int32))], ["part", "digest", "run", "at"])
+
+    rows = texts.mapInArrow(digests, "part long, digest long, run long, at int")
+    again = rows.groupBy("part", "digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("part", "digest")
+    starts = rows.join(again, ["part", "digest"]).groupBy("run").agg(F.collect_set("at").alias("at"))
+    return starts.select("run", F.transform("at", lambda x: F.struct(x.alias("at"), F.lit(1).alias("n"))).alias("again"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +216,7 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     parts = kinds.groupBy("part").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("part")
     parts = written(parts)
     texts = run_bytes(rows, id_filter(parts, "part"), length).join(parts, "part", "left_semi").dropDuplicates(["part", "run"])
-    partly = settled(texts, length)
+    partly = settled(written(texts), length)
     wholly = kinds.filter("times > 1").select("run", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("again"))
     marks = found.join(wholly.union(partly), "run").select("row", "low", F.explode("again").alias("x")).select("row", F.struct((F.col("low") + F.col("x.at")).alias("at"), F.col("x.n").cast("long").alias("n")).alias("x"))
     return marks.groupBy("row").agg(F.collect_set("x").alias("starts"))
