@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -85,15 +86,8 @@ def test_edit_similarity():
         assert line_dedup.similar(a.encode(), b.encode(), 0.8) == (5 * plain.edit_distance(a, b) <= longest)
 
 
-def fingerprint(line: str) -> int:
-    raw = np.frombuffer(line.encode(), np.uint8)
-    return int(line_dedup.normal_lines(raw, np.array([0, len(raw)]))[3][0])
-
-
-def are_candidates(x: str, y: str) -> bool:
-    differ = (fingerprint(x) ^ fingerprint(y)) & (2**64 - 1)
-    same = sum(not differ >> s & (1 << n) - 1 for s, n in line_dedup.BLOCKS)
-    return same >= 2 and differ.bit_count() <= line_dedup.NEAR_BITS
+def may_be_similar(x: str, y: str) -> bool:
+    return 5 * abs(len(x) - len(y)) <= max(len(x), len(y))
 
 
 def test_three_bits_are_always_candidates():
@@ -104,6 +98,15 @@ def test_three_bits_are_always_candidates():
         assert sum(not differ >> s & (1 << n) - 1 for s, n in line_dedup.BLOCKS) >= 2
 
 
+def test_normal_lines():
+    rng = random.Random(3)
+    for _ in range(100):
+        raw = ["".join(rng.choices("aB 10\n\t.é9 ", k=rng.randrange(40))).encode() for _ in range(rng.randrange(1, 6))]
+        text, number, normal, at = line_dedup.normal_lines(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        got = [(int(i), int(k), normal[at[j] : at[j + 1]].tobytes()) for j, (i, k) in enumerate(zip(text, number, strict=True))]
+        assert got == [(i, k, b" ".join(re.sub(rb"[0-9]+", b"0", x.lower()).split())) for i, t in enumerate(raw) for k, x in enumerate(t.split(b"\n"))]
+
+
 def test_lines_are_brute_force(spark):
     rng = random.Random(9)
     bases = [plain.sentence(rng, rng.randrange(8, 16), "word") for _ in range(40)]
@@ -123,7 +126,7 @@ def test_lines_are_brute_force(spark):
     rows = [(i, t if t is None or i < 4 else t.translate(letters)) for i, t in rows]
     docs = plain.table(spark, [(i, t, None) for i, t in rows]).repartition(4)
     got = {r.id: set(r.lines) for r in line_dedup.removals(docs).collect()}
-    want = plain.line_groups(rows, line_dedup.FUZZY_WORDS, are_candidates)
+    want = plain.line_groups(rows, 1, may_be_similar)
     assert got == want
     texts = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     for i, t in rows:

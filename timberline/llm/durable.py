@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of all tables of written() that were not deleted yet, in their order.
+_tables: list[str] = []
+
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none, as in local tests."""
+    """The shared folder that the session names; where it names none, a temporary one in local mode, as in tests, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="timberline-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -22,13 +27,32 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/timberline-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/timberline-" in path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path in _tables:
+            _tables.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """How many tables there are; release() of it deletes those that are written from now on."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes all tables written since a mark(), once the results that read them are stored."""
+    while len(_tables) > since:
+        _delete(spark, _tables.pop())
