@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from timberline.llm import line_dedup, ngram_join, queries, suffix_dedup
+from timberline.llm import edit_similarity, line_dedup, ngram_join, queries, suffix_dedup
 from timberline.llm.suffix_array import suffix_array
 
 from ..compare import agree
@@ -80,22 +80,31 @@ def test_keep_first_leaves_one_of_each(spark):
 def test_edit_similarity():
     rng = random.Random(1)
     for _ in range(500):
-        a = "".join(rng.choices("ab c", k=rng.randrange(0, 30)))
+        a = "".join(rng.choices("abé c", k=rng.randrange(0, rng.choice([3, 30, 66, 140]))))
         b = "".join(x for x in a if rng.random() > 0.15) + "".join(rng.choices("ab", k=rng.randrange(3)))
         longest = max(len(a), len(b))
-        assert line_dedup.similar(a.encode(), b.encode(), 0.8) == (5 * plain.edit_distance(a, b) <= longest)
+        assert edit_similarity.similar(a.encode(), b.encode(), 0.8) == (5 * plain.edit_distance(a, b) <= longest)
 
 
 def may_be_similar(x: str, y: str) -> bool:
     return 5 * abs(len(x) - len(y)) <= max(len(x), len(y))
 
 
-def test_three_bits_are_always_candidates():
+@pytest.mark.parametrize("n", [1, 64, 65, 200, 700])
+def test_edit_similarity_of_many_pairs(n):
+    rng = random.Random(n)
+    left = ["".join(rng.choices("abcde ", k=rng.randrange(n, n + 9))) for _ in range(30)]
+    right = ["".join(c for c in x if rng.random() > rng.choice([0.1, 0.2])) + "b" for x in left]
+    got = edit_similarity.similar_pairs([x.encode() for x in left], [y.encode() for y in right], 0.8)
+    assert got.tolist() == [5 * plain.edit_distance(x, y) <= max(len(x), len(y)) for x, y in zip(left, right, strict=True)]
+
+
+def test_two_bits_are_always_candidates():
     """By the pigeonhole principle."""
     rng = random.Random(2)
     for _ in range(2000):
-        differ = sum(1 << b for b in rng.sample(range(64), 3))
-        assert sum(not differ >> s & (1 << n) - 1 for s, n in line_dedup.BLOCKS) >= 2
+        differ = sum(1 << b for b in rng.sample(range(64), 2))
+        assert sum(not differ >> s & 0xFFFF for s in line_dedup.BLOCKS) >= 2
 
 
 def test_normal_lines():
