@@ -87,3 +87,16 @@ def test_mix_repeats_rows(spark):
     got = Counter(r.doc_id for r in mixing.mix(docs).collect())
     copies = Counter(r[0] for r in plain.edge_rows())
     assert got == Counter({i: times[i] * copies[i] for i in times if times[i]})
+
+
+@pytest.mark.parametrize(("rows", "target"), [([(7, "ten words of a row that comes again and again", "a")] * 100, 1500), ([(None, "one two three", "a")] * 9 + [(2, "four five", "b")] * 4, None)])
+def test_equal_rows_are_taken_in_part(spark, rows, target):
+    """One row's size off the target at most, in the decisions and in the mix."""
+    docs = plain.table(spark, rows).repartition(4)
+    got = mixing.decisions(docs).collect()
+    taken: dict[float, int] = defaultdict(int)
+    for r in got:
+        taken[r.target] += r.taken
+    assert len(got) == len(rows) and all(abs(t - n) <= 10 for t, n in taken.items())
+    assert target is None or taken == {float(target): target}
+    assert mixing.mix(docs).count() == sum(r.times for r in got)

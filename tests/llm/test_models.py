@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from timberline.llm import quality_classifier, quality_rules, queries
+from timberline.llm import language_id, quality_classifier, quality_rules, queries
 from timberline.llm.text_statistics import RATIOS
 
 from . import plain
@@ -85,3 +85,22 @@ def test_language_on_held_out_rows(spark, larger):
         assert (r.lang_pred == "und") == (not letters)
     held = [r.lang_pred == rows[r.doc_id].lang for r in got if r.held_out and rows[r.doc_id].lang and r.lang_pred != "und"]
     assert np.mean(held) > 0.95
+
+
+def test_repeated_ids_do_not_empty_the_sample(spark, monkeypatch):
+    """One id for all rows, more rows than the sample holds."""
+    monkeypatch.setattr(quality_classifier, "SAMPLE_ROWS", 50)
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 50)
+    texts = [("the quick brown fox and the lazy dog number " + str(k % 7), "en") for k in range(300)] + [("der schnelle braune fuchs und der faule hund", "de")] * 300
+    docs = spark.createDataFrame([(1, t, lang) for t, lang in texts], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(docs).collect()} == {"en", "de"}
+    assert all(0 < r.score < 1 for r in quality_classifier.classify(docs).collect())
+
+
+def test_long_texts_add_up_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    table = rng.normal(size=(language_id.BUCKETS, 3))
+    whole = language_id.text_logits(table, data, np.array([0, len(data)]))
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", 777)
+    assert np.array_equal(language_id.text_logits(table, data, np.array([0, len(data)])), whole)

@@ -25,14 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
-from .batches import blocks, flat
+from .batches import BLOCK_BYTES, blocks, flat
+from .samples import sample
 from .words import IS_BLANK
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Logits are added up as multiples of 1 / STEPS.
 STEPS = 1 << 24
-#: Training takes about so many labelled rows, by a digest of their ids; the driver holds no more.
+#: Training takes about so many different labelled rows (samples.sample()); the driver holds no more than twice as many, of bounded length.
 SAMPLE_ROWS = 4000
 #: A prediction is accepted if its calibrated score is at least that of all but this share of right ones.
 REJECTED_SHARE = 0.01
@@ -62,9 +63,8 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return found[order], np.searchsorted(at[order], offsets)
 
 
-def text_logits(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Average of the table's rows over each text's subwords, in exact steps, so that equal texts have equal averages."""
-    table = np.rint(table.astype(np.float64) * STEPS).astype(np.int64)
+def _sums(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the table's rows over each text's subwords, and how many there are."""
     folded = _FOLD[data].astype(np.uint32)
     n, texts = len(folded), len(offsets) - 1
     total, count = np.zeros((texts, table.shape[1]), np.int64), np.zeros(texts)
@@ -78,6 +78,21 @@ def text_logits(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.
         last = np.maximum(np.minimum(offsets[1:] - size + 1, n - size + 1), offsets[:-1].clip(max=n - size + 1))
         total += sums[last] - sums[offsets[:-1].clip(max=n - size + 1)]
         count += np.maximum(0, np.diff(offsets) - size + 1)
+    return total, count
+
+
+def text_logits(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Average of the table's rows over each text's subwords, in exact steps, so that equal texts have equal averages; a long text is added up in pieces."""
+    table = np.rint(table.astype(np.float64) * STEPS).astype(np.int64)
+    total, count = np.zeros((len(offsets) - 1, table.shape[1]), np.int64), np.zeros(len(offsets) - 1)
+    if len(offsets) > 2 or len(data) <= BLOCK_BYTES:
+        total, count = _sums(table, data, offsets)
+    else:
+        for k in range(0, len(data), BLOCK_BYTES):
+            # the three bytes that the next piece begins with are needed here, but their own subwords belong there
+            for piece, sign in ((data[k : k + BLOCK_BYTES + 3], 1), (data[k + BLOCK_BYTES : k + BLOCK_BYTES + 3], -1)):
+                t, c = _sums(table, piece, np.array([0, len(piece)]))
+                total, count = total + sign * t, count + sign * c
     return total / (STEPS * np.maximum(count, 1)[:, None])
 
 
@@ -134,12 +149,9 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(text, lang) of about SAMPLE_ROWS rows that may be learned from, picked by a digest of their ids."""
+    """(text, lang) of a sample of the different rows that may be learned from."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold(F.col(id_col)), F.lit(1)) != 0))
-    n = rows.count()
-    share = min(1.0, SAMPLE_ROWS / max(1, n))
-    pick = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) < int(share * (1 << 30))
-    return rows.filter(pick).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).limit(2 * SAMPLE_ROWS)
+    return sample(rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), SAMPLE_ROWS, "language")
 
 
 def fold(id_: Column) -> Column:
@@ -148,7 +160,7 @@ def fold(id_: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    rows = sorted((r.text, r.lang) for r in training_rows(docs, id_col, text_col, lang_col).toLocalIterator())
+    rows = sorted((r.text, r.lang) for r in training_rows(docs, id_col, text_col, lang_col).collect())
     return fit([t for t, _ in rows], [lang for _, lang in rows])
 
 

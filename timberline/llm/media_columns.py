@@ -29,6 +29,8 @@ from .durable import written
 
 #: Samples in a row of a stored medium; payloads are padded to a multiple of it.
 WIDTH = 64
+#: Digests that a task remembers.
+REMEMBERED = 200_000
 PARTS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -142,10 +144,15 @@ def measure(stored: bytes) -> tuple[int, str, int, int, str, str]:
 
 
 def store(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Writes a table (digest, media) with a row for each payload and returns it as read back; null payloads are left out."""
+    """Writes a table (digest, media) and returns it as read back; null payloads are left out, of equal ones a task stores the first, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            new = [not (d in seen or seen.add(d)) for d in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for k in range(0, batch.num_rows, 200):
                 some = batch.slice(k, 200)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([pack(x) for x in some.column(1).to_pylist()], pa.binary())], ["digest", "media"])
@@ -168,11 +175,16 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(run, f"digest string, {FEATURES}").dropDuplicates(["digest"])
 
 
+def apart_text(df: DataFrame, key: str) -> DataFrame:
+    """As components.apart(), for a text key."""
+    return df.withColumn(key, F.concat(key, F.lit("")))
+
+
 def resolve(pages: DataFrame, found: DataFrame, id_col: str = "page_id") -> DataFrame:
     """A row for each media part of `sequences`: id, position, caption, digest, and the features of its payload."""
     parts = pages.select(id_col, F.explode("parts").alias("_part")).filter("_part.kind = 'media'")
     parts = parts.select(id_col, F.col("_part.position").alias("position"), F.col("_part.caption").alias("caption"), F.col("_part.digest").alias("digest"))
-    return parts.join(found, "digest", "left")
+    return parts.join(apart_text(found, "digest"), "digest", "left")
 
 
 def page_of(text: Column, payload: Column, caption: Column) -> Column:

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from . import text_statistics, words
 from .batches import blocks, flat
+from .samples import sample
 from .text_statistics import RATIOS
 
 BUCKETS = 1 << 15
 #: Weights are added up as multiples of 1 / STEPS.
 STEPS = 1 << 32
-#: The scorer learns from about so many texts, by a digest of their ids; the driver holds no more than twice as many.
+#: The scorer learns from about so many different texts (samples.sample()); the driver holds no more than twice as many, of bounded length.
 SAMPLE_ROWS = 6000
 GOOD, BAD, NOTHING = 2, 1, 0
 
@@ -157,7 +158,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
     counted = rows.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
     posterior = posteriors(counted["pattern"].to_numpy(), counted["n"].to_numpy())
     by = dict(zip(counted["pattern"].tolist(), posterior.tolist(), strict=True))
-    share = min(1.0, SAMPLE_ROWS / max(1, int(counted["n"].sum())))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +172,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
                     ["id", "buckets", "shares", "ratio"],
                 )
 
-    some = rows.filter(F.pmod(F.xxhash64("id", F.lit("weak")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_ROWS)
-    sample = some.mapInArrow(bag, f"id {rows.schema['id'].dataType.simpleString()}, buckets binary, shares binary, ratio array<double>")
-    got = sorted(((r.id is not None, r.id, bytes(r.buckets), bytes(r.shares), list(r.ratio)) for r in sample.toLocalIterator()), key=lambda r: r[:3] if r[0] else (False, 0, r[2]))
+    bags = sample(rows, SAMPLE_ROWS, "weak").mapInArrow(bag, f"id {rows.schema['id'].dataType.simpleString()}, buckets binary, shares binary, ratio array<double>")
+    got = [(r.id, None, bytes(r.buckets), bytes(r.shares), list(r.ratio)) for r in bags.collect()]
     ratio = np.array([r[4] for r in got]).reshape(-1, len(RATIOS))
     labels = np.array([by[p] for p in pattern(votes(ratio)).tolist()])
     return fit([(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4")) for r in got], ratio, labels)
