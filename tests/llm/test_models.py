@@ -91,7 +91,7 @@ def test_repeated_ids_do_not_empty_the_sample(spark, monkeypatch):
     """One id for all rows, more rows than the sample holds."""
     monkeypatch.setattr(quality_classifier, "SAMPLE_ROWS", 50)
     monkeypatch.setattr(language_id, "SAMPLE_ROWS", 50)
-    texts = [("the quick brown fox and the lazy dog number " + str(k % 7), "en") for k in range(300)] + [("der schnelle braune fuchs und der faule hund", "de")] * 300
+    texts = [("the quick brown fox and the lazy dog number " + str(k % 7), "en") for k in range(300)] + [("der schnelle braune fuchs und der faule hund nummer " + str(k % 7), "de") for k in range(300)]
     docs = spark.createDataFrame([(1, t, lang) for t, lang in texts], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id.identify(docs).collect()} == {"en", "de"}
     assert all(0 < r.score < 1 for r in quality_classifier.classify(docs).collect())

@@ -33,7 +33,7 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -44,7 +44,7 @@ def forget(*tables: DataFrame) -> None:
         path = getattr(df, "_written_to", None)
         if path in _tables:
             _tables.remove(path)
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def mark() -> int:
@@ -55,4 +55,4 @@ def mark() -> int:
 def release(spark: SparkSession, since: int = 0) -> None:
     """Deletes all tables written since a mark(), once the results that read them are stored."""
     while len(_tables) > since:
-        _delete(spark, _tables.pop())
+        delete(spark, _tables.pop())
