@@ -87,3 +87,19 @@ def species_facet(rows: DataFrame) -> DataFrame:
     atoms = F.when(whole, F.array("s")).otherwise(F.split("s", r"\s*/\s*"))
     labels = distinct.filter(~is_option(F.col("s"))).select("vendor", F.explode(atoms).alias("label"))
     return one_case(labels.filter(is_wood(F.col("label"))).distinct(), ["vendor"])
+
+
+def fingerprints(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows, fingerprint): a sum of digests of ids and parts, so that rows need no order and add up before the shuffle."""
+    digest = F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(":"), "part_number"), 256), 1, 14)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(digest, 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+
+
+def stats_with_quotes(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """stats() and the number of quotes."""
+    return stats(rows).crossJoin(quotes.agg(F.count(F.lit(1)).alias("quotes")))  # one row each
+
+
+def active(users: DataFrame) -> DataFrame:
+    """(n_users, n_active) of users (active)."""
+    return users.agg(F.count(F.lit(1)).alias("n_users"), F.count_if(F.coalesce("active", F.lit(False))).alias("n_active"))

@@ -171,3 +171,10 @@ def search(rows: DataFrame, query: str = "", limit: int = LIMIT, **filters: str
     order = [F.col(c).asc_nulls_first() for c in BROWSE]
     term = max(parsed.terms, key=len, default="").lower()
     return found.orderBy(*(relevance(term) if term else []), *order).limit(limit)
+
+
+def guarded(rows: DataFrame, query: str = "", limit: int = LIMIT, **filters: str | None) -> DataFrame:
+    """search(), but nothing where neither words nor a vendor are asked for."""
+    if not query.strip() and not named(filters.get("vendor")):
+        return rows.limit(0)
+    return search(rows, query, limit, **filters)

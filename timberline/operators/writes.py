@@ -18,13 +18,43 @@ def with_ids(rows: DataFrame, last: Column | int) -> DataFrame:
     return rows.withColumn("id", F.monotonically_increasing_id() + 1 + last)
 
 
-def replace(rows: DataFrame, new: DataFrame, column: str) -> DataFrame:
-    """rows without those whose `column` has a value that new rows have, and the new rows."""
-    gone = new.filter(F.col(column).isNotNull()).select(column).distinct()
-    return rows.join(gone, column, "left_anti").select(*COLUMNS).unionByName(conform(new))
+def replace(rows: DataFrame, new: DataFrame, column: str, value: str) -> DataFrame:
+    """rows without those whose `column` is `value`, and the new rows, if there are any."""
+    return append(delete(rows, column, value), new)
+
+
+def replaced_counts(rows: DataFrame, new: DataFrame, column: str, value: str) -> DataFrame:
+    """(deleted, inserted, total) of replace()."""
+    gone = rows.agg(F.count_if(F.col(column).eqNullSafe(value)).alias("deleted"))
+    return gone.crossJoin(new.agg(F.count(F.lit(1)).alias("inserted"))).select("deleted", "inserted", F.col("inserted").alias("total"))  # one row each
+
+
+def added(rows: DataFrame, new: DataFrame, mode: str = "append") -> DataFrame:
+    """rows after new ones, all of the builder that the first of them by id names.
+
+    Modes: replace_vendor (also replace_builder, replace_source) puts them in
+    place of all rows of the builder, or of the source file if no builder is
+    named; upsert; append.
+    """
+    if mode not in ("append", "upsert", "replace_vendor", "replace_builder", "replace_source"):
+        raise ValueError(f"no such mode: {mode}")
+    first = new.select(F.coalesce(text.vendor(F.col("vendor"), F.col("source_file")), "vendor").alias("vendor"), "source_file", "id").orderBy("id").first()
+    if first is None:
+        return conform(rows)
+    new = new.withColumn("vendor", F.lit(first["vendor"]))
+    if mode == "upsert":
+        return upsert(rows, new).select(*COLUMNS)
+    if mode == "append":
+        return append(rows, new)
+    if first["vendor"]:
+        return replace(rows, new, "vendor", first["vendor"])
+    return replace(rows, new, "source_file", first["source_file"]) if first["source_file"] else append(rows, new)
 
 
 def delete(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """rows without those whose `column` is `value`, which must not be empty."""
+    if not value:
+        raise ValueError("what is deleted must be named")
     return rows.filter(~F.col(column).eqNullSafe(value))
 
 
@@ -49,8 +79,9 @@ def upsert(rows: DataFrame, new: DataFrame) -> DataFrame:
     loose = usable.filter(~F.col("_known"))
     first = Window.partitionBy("_key").orderBy("id")
     keyed = usable.filter("_known").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    last = Window.partitionBy("_key")
-    old = rows.withColumn("_key", identity()).withColumn("_top", F.max("id").over(last) == F.col("id"))
+    # rows without identity match nothing, so they form no group
+    known = rows.filter(is_identified()).select(identity().alias("_key"), "id").groupBy("_key").agg(F.max("id").alias("id"))
+    old = rows.join(known.select(F.col("id").alias("_last"), F.col("_key")), F.col("id") == F.col("_last"), "left").withColumn("_top", F.col("_last").isNotNull())
     both = old.alias("o").join(keyed.alias("n"), (F.col("o._key") == F.col("n._key")) & F.col("o._top"), "full_outer")
     hit = F.col("n._key").isNotNull()
 
@@ -76,6 +107,7 @@ def addon(vendor: str, label: str, flat: float | None = None, pct: float | None
     return {"vendor": vendor, "collection": "Addons", "part_number": label.strip(), "description": label.strip(), "option_key": label.strip(), "base_price": flat, "addon_pct": pct, "line_kind": "addon", "price_basis": "wholesale", "finish_state": "finished"}
 
 
+# Fixed value: banners of new products.
 NEW_BANNER = r"(?i)^(new(\s*product|\s*items?)?$|new\s+(january|february|march|april|may|june|july|august|september|october|november|december)\b)"
 
 
@@ -91,8 +123,8 @@ def _distinctly(rows: DataFrame, cleaned: dict[str, tuple[Column, list[str]]]) -
 def standardized(rows: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER) -> DataFrame:
     """Catalog rows with clean labels and prices; rows that name nothing or have no price go.
 
-    Labels of woods, collections and vendors are cleaned once per distinct value.
-    A charge with a percentage needs no price.
+    Labels of woods, collections and vendors are cleaned once per distinct value:
+    in place, their nested expressions would be copied into each other.  A charge with a percentage needs no price.
     """
     r = _distinctly(conform(rows), {"_vendor": (text.vendor(F.col("vendor")), ["vendor"]), "_wood": (text.species(F.col("species")), ["species"])})
     raw = F.coalesce("species", F.lit(""))

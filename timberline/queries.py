@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import labels, money, text
 from .operators import cells as sheet
-from .operators import duplicates, pages, pricing, rollups, search, writes
+from .operators import duplicates, pages, pricing, rollups, search, upkeep, writes
 from .plans.catalog import PRICE_BOOK_SQL, price_book, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,11 @@ def hide_addons(spark, sf_dir):
     return search.filtered(price_book(spark, sf_dir)).groupBy("line_kind").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("select id from book where id % 7 = 3")
+@query("select id, part_number from book where id in (select min(id) from book union all select max(id) from book union all select min(id) from book where line_kind = 'addon')")
 def row_by_id(spark, sf_dir):
-    return price_book(spark, sf_dir).filter(F.col("id") % 7 == 3).select("id")
+    book = price_book(spark, sf_dir)
+    ends = book.agg(F.array(F.min("id"), F.max("id"), F.min(F.when(F.col("line_kind") == "addon", F.col("id")))).alias("ids"))
+    return upkeep.by_ids(book, ends.select(F.explode("ids").alias("id"))).select("id", "part_number")
 
 
 # money
@@ -253,16 +255,16 @@ def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_price", F.col("base_price") + 1.0).withColumn("description", F.when(F.col("id") % 2 == 0, F.col("description")))
 
 
-@query("select id, vendor, base_price from book where id % 10 < 7 and vendor not in (select distinct vendor from book where id % 10 >= 5 and vendor < 'Supplier#000000050') union all select id, vendor, base_price + 1.0 from book where id % 10 >= 5 and vendor < 'Supplier#000000050'")
+@query("select id, vendor, base_price from book where id % 10 < 7 and vendor <> 'Supplier#000000003' union all select id, vendor, base_price + 1.0 from book where id % 10 >= 5 and vendor = 'Supplier#000000003'")
 def replace_vendor(spark, sf_dir):
-    new = _incoming(spark, sf_dir).filter(F.col("vendor") < "Supplier#000000050")
-    return writes.replace(_base(spark, sf_dir), new, "vendor").select("id", "vendor", "base_price")
+    new = _incoming(spark, sf_dir).filter(F.col("vendor") == "Supplier#000000003")
+    return writes.replace(_base(spark, sf_dir), new, "vendor", "Supplier#000000003").select("id", "vendor", "base_price")
 
 
 @query("select id, vendor, base_price from book where id % 10 < 7 and source_file <> 'list-3.xlsx' union all select id, vendor, base_price + 1.0 from book where id % 10 >= 5 and source_file = 'list-3.xlsx'")
 def replace_source(spark, sf_dir):
     new = _incoming(spark, sf_dir).filter(F.col("source_file") == "list-3.xlsx")
-    return writes.replace(_base(spark, sf_dir), new, "source_file").select("id", "vendor", "base_price")
+    return writes.replace(_base(spark, sf_dir), new, "source_file", "list-3.xlsx").select("id", "vendor", "base_price")
 
 
 @query("select vendor, count(*) as n_rows from book where vendor <> 'Supplier#000000003' group by vendor")
@@ -499,10 +501,9 @@ def integration_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
 
 
-@query("select vendor, sha256(string_agg(concat(cast(id as varchar), ':', part_number), ',' order by id)) as fingerprint from book group by vendor")
+@query("select vendor, count(*) as n_rows, cast(sum(cast(concat('0x', substring(sha256(concat(cast(id as varchar), ':', part_number)), 1, 14)) as bigint)) as varchar) as fingerprint from book group by vendor")
 def catalog_fingerprint(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct("id", F.concat(F.col("id").cast("string"), F.lit(":"), "part_number").alias("t"))))
-    return price_book(spark, sf_dir).groupBy("vendor").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["t"]), ","), 256).alias("fingerprint"))
+    return rollups.fingerprints(price_book(spark, sf_dir), "vendor")
 
 
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
@@ -510,3 +511,6 @@ def windowed_counts(spark, sf_dir):
     from .streaming.ingest import windowed_counts as counts
 
     return counts(table(spark, sf_dir, "events"))
+
+
+from . import service_queries  # noqa: E402, F401  (registers more)
