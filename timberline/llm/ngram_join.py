@@ -11,13 +11,13 @@ Texts with equal sets are one class; classes with equal prefixes and sizes are
 one group, and only groups meet in the join:
 
 1.  The groups that share a prefix shingle meet with their neighbours in the
-    order of sizes and with the first.  The first classes of candidate groups,
-    and each group's classes with its first, are verified on their full sets,
-    and what is linked is united.
+    order of sizes.  The first classes of candidate groups, and each group's
+    classes with its first, are verified on their full sets, and what is linked
+    is united.
 2.  Groups are expanded to their classes.  Classes that share a prefix shingle
-    but lie in different components meet in full, so no link between different
-    components is missed; links inside a component add nothing to it and are
-    not looked for.
+    but lie in different components meet in full, in tiles of bounded size that
+    are dealt over tasks, so no link between different components is missed;
+    links inside a component add nothing to it and are not looked for.
 
 Before sets are compared, histograms of the sets tell which pairs can be
 similar at all; they bound the intersection from above, so no link is lost.
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from . import words
 from .batches import blocks, flat
-from .buckets import grouped, id_filter, may_hold, neighbours
-from .components import components
-from .durable import written
+from .buckets import grouped, id_filter, may_hold, neighbours, overlapping, tiles
+from .components import apart, components
+from .durable import forget, written
 from .rows import put_away, taken_out
 
 #: Counters of the sketch, a power of two; the table of classes that is broadcast has as many bytes.
@@ -167,13 +167,13 @@ def tokens_of(groups: DataFrame, *columns: str) -> DataFrame:
 
 
 def first_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups that are next to each other, or to the first, among those that share a shingle."""
+    """Pairs of groups that are next to each other, in the order of sizes, among those that share a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches):
+        for old, table in overlapping(batches, REACH):
             key, size, grp = (table.column(k).to_numpy() for k in range(3))
             for left, right in neighbours(key, REACH):
-                near = (100 * size[left] >= percent * size[right]) & (grp[left] != grp[right])
+                near = (100 * size[left] >= percent * size[right]) & (grp[left] != grp[right]) & (right >= old)
                 x, y = grp[left[near]], grp[right[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -182,80 +182,51 @@ def first_pairs(tokens: DataFrame, percent: int) -> DataFrame:
 
 def mixed(tokens: DataFrame) -> DataFrame:
     """(token, class) of the shingles whose classes are not all in one component; tokens: (token, class, component)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, most=None):
-            key, component = table.column(0).to_numpy(), table.column(2).to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            many = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
-            some = pa.array(np.repeat(many, np.diff(np.append(first, len(key)))))
-            yield from table.select(["token", "class"]).filter(some).to_batches()
-
-    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, class long")
+    spread = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    return tokens.join(apart(spread, "token"), "token").select("token", "class")
 
 
 def cross_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of classes that share a shingle, may be similar by size and sketch and lie in different components.
 
-    One of such a pair is not in the component that most classes of the
-    shingle are in, so only those classes look for partners.  They find all of
-    them, or, if only the best is asked for, the one whose sketch is nearest.
+    They meet in tiles, where the classes that seek find all such partners, or,
+    if only the best is asked for, the one whose sketch is nearest.
     rows: (token, size, class, component, fold).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, most=None):
-            key, size, name, component = (table.column(k).to_numpy() for k in range(4))
-            fold = np.frombuffer(flat(table.column(4))[0], np.uint8).reshape(-1, FOLD)
-            for left, right in _strangers(key, size, component, fold, percent, best):
-                x, y = name[left], name[right]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(run, "a long, b long").distinct()
-
-
-def _strangers(key: np.ndarray, size: np.ndarray, component: np.ndarray, fold: np.ndarray, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of equal key, near size, possible sketch and different component, from rows sorted by key and size."""
-    n = len(key)
-    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    order = np.lexsort((component, run))
-    new = np.ones(n, bool)
-    new[1:] = (run[order][1:] != run[order][:-1]) | (component[order][1:] != component[order][:-1])
-    first = np.flatnonzero(new)
-    count, of = np.diff(np.append(first, n)), run[order[first]]
-    top = np.lexsort((-count, of))
-    largest = component[order[first[top[np.unique(of[top], return_index=True)[1]]]]]
-    strange = np.flatnonzero(component != largest[run])
-    score, partner = np.zeros(n, np.int64), np.full(n, -1)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for step in (1, -1):
-        open_, k = strange, 0
-        while len(open_):
-            k += step
-            open_ = open_[(open_ + k >= 0) & (open_ + k < n)]
-            low, high = np.minimum(open_, open_ + k), np.maximum(open_, open_ + k)
-            open_ = open_[(key[low] == key[high]) & (100 * size[low] >= percent * size[high])]
-            one = open_[component[open_] != component[open_ + k]]
-            two = one + k
-            x, y = fold[one], fold[two]
-            most = np.where((x == 255) | (y == 255), np.maximum(x, y), np.minimum(x, y)).sum(1, dtype=np.int64)
-            most[((x == 255) | (y == 255)).any(1)] = 1 << 40  # a bin of unknown height bounds nothing
-            most = np.minimum(most, np.minimum(size[one], size[two]))
-            ok = 100 * most >= percent * (size[one] + size[two] - most)
-            one, two, most = one[ok], two[ok], most[ok]
-            if best:
-                more = most > score[one]
-                score[one[more]], partner[one[more]] = most[more], two[more]
-            elif len(one):
-                held.append((one, two))
-                if sum(len(x) for x, _ in held[-50:]) > 200_000 or len(held) > 1000:
-                    yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-                    held = []
-    if best:
-        found = np.flatnonzero(partner >= 0)
-        yield found, partner[found]
-    elif held:
-        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        for table in grouped(batches):
+            tile, seeks, size, name, component = (table.column(k).to_numpy() for k in range(5))
+            fold = np.frombuffer(flat(table.column(5))[0], np.uint8).reshape(-1, FOLD)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])), len(tile))
+            found = [_partners(seeks[s:e], size[s:e], component[s:e], fold[s:e], percent, best) + s for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            pair = np.concatenate([np.zeros((0, 2), np.int64), *found])
+            x, y = name[pair[:, 0]], name[pair[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    dealt = tiles(rows, "token", "class", "component").select("tile", "seeks", "size", "class", "component", "fold")
+    return dealt.repartition("tile").sortWithinPartitions("tile", "seeks", "size").mapInArrow(run, "a long, b long").distinct()
+
+
+def _partners(seeks: np.ndarray, size: np.ndarray, component: np.ndarray, fold: np.ndarray, percent: int, best: bool) -> np.ndarray:
+    """Index pairs (seeker, partner) of near size, possible sketch and different component; those that don't seek come first, by size."""
+    stay, out = int((~seeks).sum()), []
+    for k in range(stay, len(size)):
+        low, high = np.searchsorted(size[:stay], [-(-size[k] * percent // 100), 100 * size[k] // percent + 1])
+        at = np.flatnonzero(component[low:high] != component[k]) + low
+        if not len(at):
+            continue
+        x, y = fold[at], fold[k]
+        full = (x == 255) | (y == 255)
+        most = np.where(full, np.maximum(x, y), np.minimum(x, y)).sum(1, dtype=np.int64)
+        most[full.any(1)] = 1 << 40  # a bin of unknown height bounds nothing
+        most = np.minimum(most, np.minimum(size[at], size[k]))
+        ok = 100 * most >= percent * (size[at] + size[k] - most)
+        at, most = at[ok], most[ok]
+        if best and len(at):
+            at = at[[int(most.argmax())]]
+        out.append(np.stack([np.full(len(at), k), at], 1))
+    return np.concatenate([np.zeros((0, 2), np.int64), *out])
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -345,11 +316,13 @@ def similar_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     open_ = written(mixed(tokens_of(now(), "class", "component")))
     for best in (True, False):
-        rest = cross_pairs(open_.join(now(), "class").select("token", "size", "class", "component", "fold"), percent, best)
-        more = verify(rest)
+        met = written(open_.join(now(), "class").select("token", "size", "class", "component", "fold"))
+        more = verify(cross_pairs(met, percent, best))
+        forget(met)
         if not more.isEmpty():
-            links = links.union(more)
+            links, before = links.union(more), found
             found = written(components(links))
+            forget(before)
     # names of components become least ids
     tops = classes.join(found, classes["s1"] == found["node"], "left").select("s1", "s2", F.coalesce("component", "s1").alias("component"), "least")
     least = tops.groupBy("component").agg(F.min("least").alias("component_id"))
