@@ -187,7 +187,8 @@ def settled(texts: DataFrame, length: int) -> DataFrame:
     name, count, piece = texts.columns[1:4]
     large = texts.groupBy("part").agg(F.sum(F.octet_length(piece)).alias("bytes")).filter(F.col("bytes") > SHARD_BYTES).select("part")
     large = written(large)
-    small = texts.join(large, "part", "left_anti").repartition("part").sortWithinPartitions("part", "run").mapInArrow(solve, "run long, again array<struct<at: int, n: int>>")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not put together by size: a part takes long for its bytes
+    small = texts.join(large, "part", "left_anti").repartition(tasks, "part").sortWithinPartitions("part", "run").mapInArrow(solve, "run long, again array<struct<at: int, n: int>>")
     return small.union(settled_apart(texts.join(large, "part", "left_semi").select("part", name, count, piece), length))
 
 
