@@ -22,11 +22,12 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """The rows of df from a Parquet table; what follows doesn't recompute what came before."""
+def written(df: DataFrame, compression: str = "zstd", partition_by: str | None = None) -> DataFrame:
+    """The rows of df from a Parquet table; what follows doesn't recompute what came before. partition_by: the last column, if the table is to have a folder for each of its values."""
     spark = df.sparkSession
     path = f"{folder(spark)}/timberline-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(path)
     _tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -33,12 +33,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(4)
-def special_strings(path: str) -> tuple[bytes, ...]:
-    """Strings that the library takes for one token wherever a text holds them."""
+def special_ids(path: str) -> dict[bytes, int]:
+    """Strings that the library takes for one token wherever a text holds them, and their ids."""
     if not path.endswith(".json"):
-        return ()
+        return {}
     with open(path, encoding="utf-8") as f:
-        return tuple(t["content"].encode() for t in json.load(f)["added_tokens"])
+        return {t["content"].encode(): t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def special_strings(path: str) -> tuple[bytes, ...]:
+    return tuple(special_ids(path))
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
