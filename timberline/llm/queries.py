@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lexical_search, line_dedup, media_columns, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import byte_bpe, collocations, language_id, lexical_search, line_dedup, media_columns, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,15 +65,19 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=False)
 
 
 def queries() -> dict[str, Query]:
     found = [op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_quality_classifier, op5_line_dedup, op6_byte_bpe, op7_language_id, op8_ngram_join, op9_media_columns, op10_mixing]
-    found += [op11_lexical_search, op13_packing]
+    found += [op11_lexical_search, op12_collocations, op13_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": ngram_join.sql(), "op10_mixing": mixing.sql(), "op11_lexical_search": lexical_search.sql()}
+    return {"op8_ngram_join": ngram_join.sql(), "op10_mixing": mixing.sql(), "op11_lexical_search": lexical_search.sql(), "op12_collocations": collocations.sql()}
