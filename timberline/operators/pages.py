@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 from .cells import carried
 
-# Amounts, item codes, and lines that are furniture of a page.
+# Amounts, item codes, sizes, woods, and lines that are furniture of a page.
 MONEY = r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\d+(?:\.\d{2})?)"
+PRICE_TOKEN = r"(?i)\$\s*\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\$\s*\d+(?:\.\d{2})?|N/?A"
+PRICE_LINE = r"(?i)^(?:\$?\s*[\d,]+(?:\.\d{2})?|N/?A)$"
 CODE = r"(?i)^([A-Z]{1,6}[-/][A-Z0-9][-A-Z0-9/]{1,20}|[A-Z]?\d{3,6}[A-Z]{0,4})\s+(.+)$"
-SKIP = r"(?i)^(?:page\s+\d+|table of contents|prices?\s+subject|effective\s+|phone:|fax:|email:|account executive|main office|new orders|pick up|warehouse|index$|markup|upcharge|continued|standard features|options:|seat options|please note|dims?/size|l\.w\.h|d\.w\.h|std\s*=|std price|finished\s+(?:retail|wholesale)|your source for|ph:|www\.|http)"
+SIZE = r"(?i)^(?:solid\s+|self[- ]?store\s+|top\s+|[124]\s*leaf\s+)?(\d{1,3}\s*[\"']?\s*[x×]\s*\d{1,3}(?:\s*[\"']?\s*[x×]\s*[\d./-]+)?\s*[\"']?|\d{1,3}\s*[\"']?\s*(?:round|rd)\b|\d{1,3}\s*[\"']\s*[x×])"
+SKIP = r"(?i)^(?:page\s+\d+|tableofcontents|prices?\s+subject|effective\s+|phone:|fax:|email:|accountexecutive|mainoffice|neworders|pickup|warehouse|index$|markup|upcharge|continued|standardfeatures|options:|seatoptions|pleasenote|dims?/size|l\.w\.h|d\.w\.h|std\s*=|stdprice|finished\s+(?:retail|wholesale)|yoursourcefor|ph:|www\.|http)"
+PAGE_NUMBER = r"^\d{1,3}$"
 SECTION = r"(?i)^(.+?\s+(?:chairs?|tables?|collection|series|beds?|stools?|benches?)|[A-Z][A-Za-z &/'-]{2,40})$"
+NO_SECTION = r"(?i)^(?:item$|leaves?$|redoak|wormy|walnut|cherry|maple|oak|hickory|numberof|solid$|self.?store|specs?$|overall|sizes?$|basespecs)"
 NO_PRODUCT = r"(?i)^(for |add |deduct |no |upcharge|paint )"
-#: Names of price columns where a page has none.
-TIERS = ["Tier 1", "Tier 2", "Tier 3", "Tier 4", "Tier 5", "Tier 6", "Tier 7", "Tier 8"]
+BLOCK_SECTION = r"(?i)chairs?|tables?|collection|beds?|stools?"
+LINE_SECTION = r"(?i)table|chair|collection|pedestal|trestle|bench"
+LEAVES = r"(?i)^solid$"
+COLUMN_HEADS = ["item", "leaves", "number of leaves", "red oak", "wormy maple", "rustic walnut", "walnut"]
+WOOD_HINTS = ["brown maple", "red oak", "wormy maple", "walnut", "rustic walnut", "cherry", "hard maple", "white oak", "qswo", "pswo", "hickory", "rustic cherry", "sap cherry", "elm", "oak", "aspen", "rough sawn", "rustic oak", "rustic hickory", "rustic wht oak", "rustic qswo"]
+STREAM_CODE = r"(?i)^[A-Z]{1,6}[-/][A-Z0-9][-A-Z0-9/]{1,24}$"
+STREAM_PRICE = r"^\$\s*[\d,]+(?:\.\d{2})?$"
+STREAM_SIZE = r"^\d{1,3}(?:\.\d+)?[\"']?(?:\s*[xX×]\s*\d|[xX×])"
+STREAM_HEAD = r"(?i)^(?:std price|code|description/?name|dims?/size|l\.w\.h|d\.w\.h)$"
+STREAM_NOTE = r"(?i)^(ph:|fax:|email:|std=)"
+NUMBER_CELL = r"^\d+\.?\d*$"
+#: What the price columns of a list stand for where it doesn't say; with more columns than these, all are numbered.
+PRICE_LABELS = ["Brown Maple / Red Oak", "Cherry / Wormy Maple", "Walnut / Premium", "Species 4", "Species 5", "Species 6", "Species 7", "Species 8"]
 
 
 def cleaned(lines: DataFrame) -> DataFrame:
+    """Lines with single blanks, without empty ones, page numbers and furniture of a page."""
     out = lines.withColumn("line", squeeze(F.col("line"))).filter("line != ''")
-    return out.filter(~F.col("line").rlike(SKIP))
+    return out.filter(~F.col("line").rlike(SKIP) & ~F.col("line").rlike(PAGE_NUMBER))
+
+
+def wood_header(line: Column) -> Column:
+    """Whether a line names woods and is short enough to head columns."""
+    low = F.lower(line)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in WOOD_HINTS]) & (F.length(line) < 80)
+
+
+def price_label(n: Column, k: Column) -> Column:
+    """What the k-th (from 0) of n prices stands for; null for a lone one."""
+    numbered = F.concat(F.lit("Species "), (k + 1).cast("string"))
+    return F.when(n > 1, F.when(n <= len(PRICE_LABELS), F.get(F.array(*map(F.lit, PRICE_LABELS)), k)).otherwise(numbered))
 
 
 def statistics(lines: DataFrame) -> DataFrame:
@@ -39,30 +70,97 @@ def _coded(text: Column) -> tuple[Column, Column]:
 
 
 def _expanded(rows: DataFrame) -> DataFrame:
-    """A row per price; several prices of a line are tiers."""
-    tier = F.when(F.size("prices") > 1, F.get(F.array(*map(F.lit, TIERS)), F.col("pos")))
-    return rows.select("*", F.posexplode("prices").alias("pos", "base_price")).withColumn("species", tier).select("file", "page", "line_no", "part_number", "description", "species", "collection", "base_price")
+    """A row per price; several prices of a line stand for woods."""
+    rows = rows.withColumn("_n", F.size("prices")).select("*", F.posexplode("prices").alias("pos", "base_price"))
+    return rows.withColumn("species", price_label(F.col("_n"), F.col("pos"))).select(*READ)
+
+
+READ = ["file", "page", "line_no", "part_number", "description", "species", "collection", "base_price", "notes"]
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("at", F.struct("page", "line_no")).withColumn("notes", F.lit(None).cast("string"))
 
 
 def inline_prices(lines: DataFrame) -> DataFrame:
     """Lines that hold a description and its prices."""
-    rows = cleaned(lines).withColumn("prices", amounts(F.col("line")))
-    head = F.when((F.size("prices") == 0) & ~F.col("line").rlike(r"\d") & F.length("line").between(3, 50) & F.col("line").rlike(SECTION), F.col("line"))
-    rows = carried(rows.withColumn("at", F.struct("page", "line_no")), head, ["file"], "at", "collection")
+    rows = _with_place(cleaned(lines)).withColumn("prices", amounts(F.col("line")))
+    rows = rows.filter((F.size("prices") > 0) | ~wood_header(F.col("line")))
+    head = F.when((F.size("prices") == 0) & ~F.col("line").rlike(r"\d") & F.length("line").between(3, 50) & F.col("line").rlike(SECTION) & ~F.col("line").rlike(NO_SECTION), F.col("line"))
+    rows = carried(rows, head, ["file"], "at", "collection")
     desc = squeeze(F.regexp_replace(F.regexp_replace("line", MONEY, ""), r"^[\s\-–|]+|[\s\-–|]+$", ""))
     rows = rows.withColumn("_d", desc).filter((F.size("prices") > 0) & (F.length("_d") >= 2) & ~F.col("_d").rlike(NO_PRODUCT))
     part, description = _coded(F.col("_d"))
     return _expanded(rows.withColumn("part_number", part).withColumn("description", description))
 
 
+def _token_value(token: Column) -> Column:
+    """A price of a token with or without a currency sign; null for N/A."""
+    bare = F.regexp_replace(F.regexp_extract(token, r"[\d,]+(?:\.\d+)?", 0), ",", "")
+    return F.when(~token.rlike("(?i)^N/?A$"), F.coalesce(F.get(amounts(F.when(token.startswith("$"), token).otherwise(F.concat(F.lit("$"), token))), F.lit(0)), F.nullif(bare, F.lit("")).try_cast("double")))
+
+
+def item_blocks(lines: DataFrame) -> DataFrame:
+    """Items with their prices on the lines below, one a line or several on one; an item may stand on the page before its prices.
+
+    A line either sets what is open - an item, nothing after a section or a
+    line of several prices - or goes with what was set before it.  A running
+    sum of the setting lines numbers the stretches between them.  Of a stretch
+    that an item opened, the first prices in a row are the item's: a wood's name
+    or a page's end after a price closes the row, and a second running sum of
+    these tells the rows apart.  A line for leaves goes with the item above it
+    only if that has no price yet, else it is an item itself.
+    """
+    rows = _with_place(cleaned(lines))
+    line = F.col("line")
+    named = line.rlike(BLOCK_SECTION) | (line.rlike(r"^\p{Lu}") & line.contains(" ") & (F.size(F.split(line, " ")) <= 5))
+    woods = wood_header(line)
+    kind = (
+        F.when(line.rlike(PRICE_LINE), "price")
+        .when(line.rlike(LEAVES), "leaf")
+        .when(line.rlike(MONEY), "prices")
+        .when(~line.rlike(r"\d") & F.length(line).between(3, 55) & ~woods & named, "section")
+        .when(woods | F.lower(line).isin(COLUMN_HEADS), "heads")
+        .otherwise("item")
+    )
+    rows = rows.withColumn("kind", kind).withColumn("sets", F.col("kind").isin("leaf", "prices", "section", "item"))
+    w = Window.partitionBy("file").orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    closes = (F.col("kind") == "heads") | (F.col("page") != F.lag("page").over(w))
+    rows = rows.withColumn("_closes", F.coalesce(closes, F.lit(False)))
+    rows = rows.withColumn("stretch", F.count_if("sets").over(upto)).withColumn("row_of", F.count_if("_closes").over(upto))
+    rows = carried(rows, F.when(F.col("kind") == "section", line), ["file"], "at", "collection")
+    stretch = Window.partitionBy("file", "stretch")
+    is_price = F.col("kind") == "price"
+    rows = rows.withColumn("priced", F.max(is_price).over(stretch)).withColumn("first_row", F.min(F.when(is_price, F.col("row_of"))).over(stretch))
+
+    sets = rows.filter("sets")
+    before = Window.partitionBy("file").orderBy("at")
+    open_ = F.coalesce(F.lag("kind").over(before).isin("item", "leaf") & ~F.lag("priced").over(before), F.lit(False))
+    sets = sets.withColumn("open", open_).withColumn("starts", (F.col("kind") == "item") | ((F.col("kind") == "leaf") & ~F.col("open")))
+    sets = carried(sets, F.when(F.col("starts"), F.struct("at", "line")), ["file"], "at", "item")
+    leaf = F.when(F.col("kind").isin("item", "leaf"), F.struct((~F.col("starts")).alias("is"), F.lit("Solid").alias("text")))
+    sets = carried(sets, leaf, ["file"], "at", "leaf").select("file", "stretch", F.col("kind").alias("opener"), "open", "item", "leaf", F.col("collection").alias("section"), F.col("line").alias("setting"))
+
+    stacked = rows.filter((F.col("kind") == "price") & (F.col("row_of") == F.col("first_row"))).join(sets.filter("opener in ('item', 'leaf')"), ["file", "stretch"])
+    place = Window.partitionBy("file", "stretch").orderBy("at")
+    stacked = stacked.withColumn("pos", F.row_number().over(place) - 1).withColumn("_n", F.count(F.lit(1)).over(stretch)).withColumn("base_price", _token_value(F.col("line")))
+    listed = sets.filter("opener = 'prices' and open").withColumn("_t", F.regexp_extract_all("setting", F.lit(PRICE_TOKEN), F.lit(0))).withColumn("_n", F.size("_t").cast("long"))
+    listed = listed.select("*", F.posexplode("_t").alias("pos", "_token")).withColumn("base_price", _token_value(F.col("_token")))
+    some = ["file", "item", "leaf", "section", "pos", "_n", "base_price"]
+    both = stacked.select(*some).union(listed.select(*some)).filter("base_price is not null")
+    part, description = _coded(F.col("item.line"))
+    told = F.when(F.col("leaf.is"), F.concat(description, F.lit(" — "), "leaf.text")).otherwise(description)
+    return both.select("file", "item.at.page", "item.at.line_no", part.alias("part_number"), told.alias("description"), price_label(F.col("_n"), F.col("pos")).alias("species"), F.col("section").alias("collection"), "base_price", F.lit(None).cast("string").alias("notes"))
+
+
 def price_lines(lines: DataFrame) -> DataFrame:
     """Lines of two and more prices and nothing else belong to the last description above them."""
-    rows = cleaned(lines).withColumn("prices", amounts(F.col("line"))).withColumn("at", F.struct("page", "line_no"))
-    bare = F.length(F.trim(F.regexp_replace("line", r"(?i)\$\s*[\d,]+(?:\.\d{2})?|N/?A", "")))
+    rows = _with_place(cleaned(lines)).withColumn("prices", amounts(F.col("line")))
+    bare = F.length(F.trim(F.regexp_replace("line", PRICE_TOKEN, "")))
     rows = rows.withColumn("is_prices", (F.size("prices") >= 2) & (bare < 8))
-    head = (F.size("prices") == 0) & ~F.col("line").rlike(r"\d") & F.length("line").between(3, 50) & F.col("line").rlike(r"(?i)table|chair|collection|pedestal|trestle|bench")
+    head = (F.size("prices") == 0) & ~F.col("line").rlike(r"\d") & F.length("line").between(3, 50) & F.col("line").rlike(LINE_SECTION)
     rows = carried(rows, F.when(head, F.col("line")), ["file"], "at", "collection")
-    about = (F.size("prices") == 0) & ~head & (F.length("line") >= 4)
+    about = (F.size("prices") == 0) & ~head & (F.col("line").rlike(SIZE) | F.col("line").rlike(CODE) | ((F.length("line") >= 4) & ~wood_header(F.col("line"))))
     rows = carried(rows, F.when(about, F.struct("at", "line")), ["file"], "at", "about")
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("used", F.max(F.when(F.col("is_prices"), F.col("at"))).over(w)).filter("is_prices and about is not null and (used is null or used < about.at)")
@@ -72,37 +170,77 @@ def price_lines(lines: DataFrame) -> DataFrame:
 
 def column_streams(lines: DataFrame, least: int = 5) -> DataFrame:
     """Pages that list codes, descriptions, sizes and prices one after the other: the k-th of each belong together."""
-    rows = cleaned(lines)
+    rows = cleaned(lines).filter(~F.col("line").rlike(STREAM_HEAD))
+    line = F.col("line")
     kind = (
-        F.when(F.col("line").rlike(r"^\d{1,3}$"), "skip")
-        .when(F.col("line").rlike(r"(?i)^[A-Z]{1,6}[-/][A-Z0-9][-A-Z0-9/]{1,24}$"), "code")
-        .when(F.col("line").rlike(r"^\$\s*[\d,]+(?:\.\d{2})?$"), "price")
-        .when(F.col("line").rlike(r"^\d{1,3}(?:\.\d+)?[\"']?\s*[xX×]"), "size")
-        .when(F.col("line").rlike("(?i)collection"), "section")
-        .when(F.length("line").between(4, 80) & ~F.col("line").rlike(MONEY), "name")
-        .otherwise("skip")
+        F.when(line.rlike(STREAM_CODE), "code")
+        .when(line.rlike(STREAM_PRICE), "price")
+        .when(line.rlike(STREAM_SIZE), "size")
+        .when(line.rlike("(?i)collection$") | (line.rlike("(?i)collection") & ~line.rlike(MONEY)), "section")
+        .when(F.length(line).between(4, 80) & ~line.rlike(MONEY) & ~wood_header(line) & ~line.rlike(STREAM_NOTE), "name")
     )
-    rows = rows.withColumn("kind", kind)
-    section = rows.filter("kind = 'section'").groupBy("file", "page").agg(F.max_by("line", "line_no").alias("collection"))
-    k = F.row_number().over(Window.partitionBy("file", "page", "kind").orderBy("line_no"))
-    wide = rows.filter("kind in ('code', 'price', 'size', 'name')").withColumn("k", k).groupBy("file", "page", "k").agg(*[F.max(F.when(F.col("kind") == x, F.col("line"))).alias(x) for x in ("code", "price", "size", "name")])
-    full = F.count(F.when(F.col("code").isNotNull() & F.col("price").isNotNull(), 1)).over(Window.partitionBy("file", "page"))
-    wide = wide.withColumn("_n", full).filter((F.col("_n") >= least) & F.col("code").isNotNull() & F.col("price").isNotNull())
-    return wide.join(section, ["file", "page"], "left").select("file", "page", F.col("k").alias("line_no"), F.upper("code").alias("part_number"), F.coalesce("name", F.upper("code")).alias("description"), F.lit(None).cast("string").alias("species"), "collection", amounts(F.col("price")).getItem(0).alias("base_price"), F.col("size").alias("notes"))
-
-
-READERS = {"inline_prices": (inline_prices, 3), "price_lines": (price_lines, 5), "column_streams": (column_streams, 5)}
+    rows = rows.withColumn("kind", kind).filter("kind is not null")
+    title = F.trim(F.replace(line, F.lit("Collection"), F.lit("")))
+    sections = rows.groupBy("file", "page").agg(F.max_by(F.when(F.col("kind") == "section", F.coalesce(F.nullif(title, F.lit("")), line)), F.when(F.col("kind") == "section", F.col("line_no"))).alias("_section"))
+    sections = carried(sections, F.col("_section"), ["file"], "page", "collection").select("file", "page", "collection")
+    each = Window.partitionBy("file", "page", "kind")
+    kinds = ("code", "price", "size", "name")
+    rows = rows.filter(F.col("kind").isin(*kinds)).withColumn("k", F.row_number().over(each.orderBy("line_no"))).withColumn("_of", F.count(F.lit(1)).over(each))
+    page = Window.partitionBy("file", "page")
+    of = {x: F.max(F.when(F.col("kind") == x, F.col("_of"))).over(page) for x in ("code", "price", "name")}
+    rows = rows.withColumn("_n", F.least(of["code"], of["price"])).withColumn("_names", of["name"]).filter(F.col("_n") >= least)
+    # names that are many more than prices begin with headings: the last of them count
+    far = F.abs(F.col("_names") - F.col("_n")) > F.greatest(F.lit(3.0), F.col("_n") * 0.3)
+    shift = F.when((F.col("kind") == "name") & far & (F.col("_names") >= F.col("_n")), F.col("_names") - F.col("_n")).otherwise(0)
+    rows = rows.withColumn("k", F.col("k") - shift).filter("k between 1 and _n")
+    wide = rows.groupBy("file", "page", "k").agg(*[F.max(F.when(F.col("kind") == x, F.col("line"))).alias(x) for x in kinds])
+    priced = wide.withColumn("base_price", _token_value(F.col("price"))).join(sections, ["file", "page"])
+    return priced.select("file", "page", F.col("k").cast("int").alias("line_no"), F.upper("code").alias("part_number"), F.coalesce("name", F.upper("code")).alias("description"), F.lit(None).cast("string").alias("species"), "collection", "base_price", F.col("size").alias("notes"))
+
+
+#: Readers in the order in which equal ones win, and the rows that make a reading.
+READERS = {"inline_prices": (inline_prices, 3), "item_blocks": (item_blocks, 5), "price_lines": (price_lines, 5), "column_streams": (column_streams, 5)}
+
+
+def table_scores(cells: DataFrame, most_rows: int = 40) -> DataFrame:
+    """(file, table, header, rows, score) of tables of cells (file, table, row, col, text); score: amounts and numbers in the first rows.
+
+    The first row heads the columns if two of its cells say something; rows
+    without text don't count, and a table needs two.
+    """
+    full = cells.withColumn("text", F.trim("text")).filter("text != ''")
+    first = cells.groupBy("file", "table").agg(F.min("row").alias("_first"))
+    rows = full.join(first, ["file", "table"])
+    heads = rows.filter("row = _first").groupBy("file", "table").agg(F.count(F.lit(1)).alias("_heads"))
+    rows = rows.join(heads, ["file", "table"], "left").filter("row > _first or coalesce(_heads, 0) < 2")
+    rows = rows.withColumn("_k", F.dense_rank().over(Window.partitionBy("file", "table").orderBy("row")))
+    amount = F.col("text").rlike(MONEY) | F.regexp_replace("text", ",", "").rlike(NUMBER_CELL)
+    return rows.groupBy("file", "table").agg((F.max(F.coalesce("_heads", F.lit(0))) >= 2).alias("header"), F.max("_k").cast("long").alias("rows"), F.count_if(amount & (F.col("_k") <= most_rows)).alias("score")).filter("rows >= 2")
+
+
+def best_table(cells: DataFrame, least: int = 3) -> DataFrame:
+    """(file, table, header, rows, score): the table of each file with most amounts, then most rows, the first of equals."""
+    best = table_scores(cells).groupBy("file").agg(F.max(F.struct("score", "rows", (-F.col("table")).alias("_t"), "header")).alias("b"))
+    return best.filter(F.col("b.score") >= least).select("file", (-F.col("b._t")).alias("table"), "b.header", "b.rows", "b.score")
+
+
+def readings(lines: DataFrame, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of all readers, (file, reader, n, rank)): every reading of a file that found enough, most rows first; tables: cells of the tables that files hold."""
+    parts, names = None, list(READERS)
+    for k, (name, (reader, least)) in enumerate(READERS.items()):
+        found = reader(lines).select(*READ, F.lit(name).alias("reader"), F.lit(k + 1).alias("_order"), F.lit(least).alias("_least"))
+        parts = found if parts is None else parts.unionByName(found)
+    counts = parts.groupBy("file", "reader", "_order").agg(F.count(F.lit(1)).alias("n"), F.max("_least").alias("_least")).filter("n >= _least").select("file", "reader", "_order", "n")
+    if tables is not None:
+        counts = counts.union(best_table(tables).select("file", F.lit("tables"), F.lit(0), "rows"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "_order"))
+    return parts.select(*READ, "reader"), counts.select("file", "reader", "n", rank.alias("rank"))
 
 
 def best_reading(lines: DataFrame) -> DataFrame:
-    """Of each file the rows of the reader that found most, if it found enough."""
-    parts = None
-    for name, (reader, least) in READERS.items():
-        found = reader(lines).select("file", "page", "line_no", "part_number", "description", "species", "collection", "base_price", F.lit(name).alias("reader"), F.lit(least).alias("_least"))
-        parts = found if parts is None else parts.unionByName(found)
-    counts = parts.groupBy("file", "reader").agg(F.count(F.lit(1)).alias("n"), F.max("_least").alias("_l")).filter("n >= _l")
-    best = counts.groupBy("file").agg(F.max_by("reader", F.struct("n", "reader")).alias("reader"))
-    return parts.join(best, ["file", "reader"]).drop("_least")
+    """Of each file the rows of the reader that found most, the first of equals, if it found enough."""
+    rows, counts = readings(lines)
+    return rows.join(counts.filter("rank = 1").select("file", "reader"), ["file", "reader"]).select(*READ, "reader")
 
 
 def price_links(pages: DataFrame) -> DataFrame:

@@ -513,4 +513,4 @@ def windowed_counts(spark, sf_dir):
     return counts(table(spark, sf_dir, "events"))
 
 
-from . import service_queries  # noqa: E402, F401  (registers more)
+from . import page_queries, service_queries  # noqa: E402, F401  (register more)
