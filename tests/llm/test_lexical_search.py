@@ -50,11 +50,10 @@ def test_agrees_with_sql(spark, sf):
     assert agree(spark, queries.op11_lexical_search, lexical_search.sql(), sf) > 0
 
 
-@pytest.mark.parametrize("seed, first, best", [(1, 2000, 5), (2, 1, 1), (3, 5, 1)])
-def test_every_pair(spark, monkeypatch, seed, first, best):
+@pytest.mark.parametrize("seed, first", [(1, 2000), (2, 1), (3, 30)])
+def test_every_pair(spark, monkeypatch, seed, first):
     """Wherever the bound lies, no result and no tie is lost; common terms, repeats and copies included."""
     monkeypatch.setattr(lexical_search, "FIRST_MATCHES", first)
-    monkeypatch.setattr(lexical_search, "FIRST_DOCUMENTS", best)
     rng = random.Random(seed)
     vocabulary = [f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(3000)]
     docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 5, 40, 200])))) for k in range(300)]

@@ -6,13 +6,12 @@ written in a folder a bucket, so that a search reads the buckets of its terms
 alone.  A search joins the items' terms with the postings, scores each match
 with integers, sums by item and document and takes the first by row_number.
 
-Frequent terms match almost every document and weigh almost nothing.  So a
-search first scores each item's rarest terms and completes the scores of the
-best documents found; the k-th of them is a score that a result must reach.
-The terms of least weight that together stay below it can't make a result on
-their own: only the other terms' matches are joined, and the scores are
-completed of those documents that can still reach the bound.  This leaves out
-no result, nor a tie of the last one.
+Frequent terms match almost every document, so the pairs of items and
+documents are many more than the postings.  A document's postings are
+therefore brought together first, and its pairs are made and summed in one
+task, without a shuffle of pairs.  Few pairs leave it: the k-th best sum of an
+item's rarest terms alone is a score that its results must reach, which leaves
+out no result, nor a tie of the last one.
 
 Defined results: null texts and texts without a term have no postings and
 don't count; repeated documents are documents each; items of one id are one
@@ -42,12 +41,12 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IN_TERM = np.ones(256, bool)
 IN_TERM[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A match scores its weight times less than this.
-UNIT = 1_000_000
 #: Buckets of terms, and parts of a bucket among which its postings are dealt.
 BUCKETS, PARTS = 32, 16
-#: Matches of an item's rarest terms that are scored first, and documents among them whose scores are completed, as a multiple of k.
-FIRST_MATCHES, FIRST_DOCUMENTS = 2000, 5
+#: Matches of an item's rarest terms that are scored first.
+FIRST_MATCHES = 2000
+#: Up to so many rows of items' terms, or items, are broadcast (some 10 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def bucket(term: Column) -> Column:
@@ -151,6 +150,10 @@ def _weights(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, int, int
     return written(out), n_docs, n_terms
 
 
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def match_score(n_docs: int, n_terms: int) -> Column:
     """Of a match of weight 1, in 64-bit integers."""
     m = f"(25L + (75L * n * {n_docs}L) div {max(1, n_terms)}L)"
@@ -167,44 +170,25 @@ def search(items: DataFrame, docs: DataFrame, k: int = 10, postings: DataFrame |
     if postings is None:
         postings = index(docs, terms, id_col, text_col)
     weights, n_docs, n_terms = _weights(terms, postings)
+    # a document's postings come together before they are joined, so that its matches are summed where they arise
     matched = postings.filter("bucket >= 0").withColumn("unit", match_score(n_docs, n_terms)).select("term", "row", "id", "unit", "bucket")
+    point = F.sum(F.col("q") * F.col("weight") * F.col("unit")).alias("score")
 
-    # the least frequent terms of each item, until they have enough matches
+    # the least frequent terms of each item, until they have enough matches: the k-th sum is one that a result must reach
     rarest = Window.partitionBy("item").orderBy("df", "term")
     before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    most = F.sum(F.col("q") * F.col("weight") * UNIT)
-    lightest = most.over(Window.partitionBy("item").orderBy(F.col("q") * F.col("weight"), "term").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = written(weights.withColumn("first", before < FIRST_MATCHES).withColumn("upto", lightest).withColumn("all", most.over(Window.partitionBy("item"))))
-    point = F.sum(F.col("q") * F.col("weight") * F.col("unit")).alias("score")
-    found = ranked.filter("first").join(matched, ["term", "bucket"]).groupBy("item", "row").agg(point)
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "row"))).filter(F.col("_r") <= FIRST_DOCUMENTS * k)
-    best = written(best.select("item", "row"))
-    scores = _completed(best, ranked, matched).groupBy("item", "row").agg(point)
-    kth = scores.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))).filter(F.col("_r") == k)
-    bound = written(kth.select(F.col("item").alias("_item"), F.col("score").alias("bound")))
-
-    # light: terms that, taken together from the lightest on, stay below the bound
-    bounded = ranked.join(bound, F.col("item").eqNullSafe(F.col("_item")), "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
-    bounded = written(bounded.withColumn("light", F.col("upto") < F.col("bound")).drop("_item", "first"))
-    rest = F.coalesce(F.max(F.when(F.col("light"), F.col("upto"))).over(Window.partitionBy("item")), F.lit(0))
-    heavy = bounded.withColumn("rest", rest).filter("not light").select("item", "term", "bucket", "q", "weight", "bound", "rest")
-    part = heavy.join(matched, ["term", "bucket"]).groupBy("item", "row").agg(F.first("id").alias("id"), point, F.first("bound").alias("bound"), F.first("rest").alias("rest"))
-    able = written(part.filter("score + rest >= bound").select("item", "row", "id", "score"))
-    more = _completed(able.select("item", "row"), bounded.filter("light"), matched).select("item", "row", F.lit(None).cast(able.schema["id"].dataType).alias("id"), (F.col("q") * F.col("weight") * F.col("unit")).alias("score"))
-    summed = able.union(more).groupBy("item", "row").agg(F.max("id").alias("id"), F.sum("score").alias("score")).filter("score > 0")
+    first = weights.withColumn("_before", before).filter(F.col("_before") < FIRST_MATCHES).select("item", "term", "bucket", "q", "weight")
+    found = _small(written(first)).join(matched, ["term", "bucket"]).groupBy("item", "row").agg(point)
+    kth = found.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))).filter(F.col("_r") == k)
+    bound = written(kth.select(F.col("item").alias("_item"), F.col("score").alias("_bound")))
+
+    scores = matched.repartition("row").join(_small(weights.select("item", "term", "bucket", "q", "weight")), ["term", "bucket"]).groupBy("row", "item").agg(F.first("id").alias("id"), point)
+    able = scores.join(_small(bound), F.col("item").eqNullSafe(F.col("_item")), "left").filter(F.col("score") >= F.coalesce("_bound", F.lit(1)))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("id"), "row")
-    top = summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = able.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return top.select(F.col("item").alias(item_col), "rank", F.col("id").alias(id_col), "score")
 
 
-def _completed(pairs: DataFrame, terms: DataFrame, matched: DataFrame) -> DataFrame:
-    """(item, row, q, weight, unit): matches of the given terms in the given pairs (item, row) alone."""
-    rows = pairs.select("row").distinct()
-    some = matched.join(rows, "row", "left_semi").join(terms.select("item", "term", "q", "weight"), "term")
-    own = pairs.select(F.col("item").alias("_item"), F.col("row").alias("_row"))
-    return some.join(own, (F.col("row") == F.col("_row")) & F.col("item").eqNullSafe(F.col("_item")), "left_semi").select("item", "row", "q", "weight", "unit")
-
-
 def sql(k: int = 10) -> str:
     """The search of `benchmark` in `documents` as DuckDB SQL."""
     fold = f"translate(text, '{UPPER}', '{LOWER}')"
