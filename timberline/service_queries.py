@@ -14,17 +14,17 @@ from .queries import FOUND, FOUND_SQL, ITEM, query
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("row", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    p = table(spark, sf_dir, "part").withColumn("row", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
     values = [F.col("p_name"), F.concat(F.lit("AB-"), F.col("p_partkey").cast("string")), F.concat(F.lit("$"), F.col("p_retailprice").cast("string")), F.col("p_type"), (F.col("p_retailprice") * 2.7).cast("string"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("call"), F.lit(" ")]
     cells = F.posexplode(F.array(*values)).alias("col", "value")
     return p.select(F.col("p_brand").alias("sheet"), "row", cells)
 
 
-CELLS_SQL = """with p as (select *, row_number() over (partition by p_brand order by p_partkey) as row from part),
-cells as (select p_brand as sheet, row, unnest(range(7)) as col, unnest([p_name, concat('AB-', p_partkey), concat('$', cast(p_retailprice as varchar)), p_type, cast(p_retailprice * 2.7::double as varchar),
+CELLS_SQL = """with p as (select *, row_number() over (partition by p_brand order by p_partkey) as place from part),
+cells as (select p_brand as sheet, place - 1 as row, unnest(range(7)) as col, unnest([p_name, concat('AB-', p_partkey), concat('$', cast(p_retailprice as varchar)), p_type, cast(p_retailprice * 2.7::double as varchar),
   case when p_size > 25 then cast(p_size as varchar) else 'call' end, ' ']) as value from p),
 v as (select *, try_cast(regexp_replace(value, '[$,\\s]', '', 'g') as double) as price from cells where trim(value) <> '')"""
-PRICED_SQL = "(select sheet, col from v where row <= 50 group by sheet, col having count(price) >= {n} and count(price) / count(*)::double >= 0.45)"
+PRICED_SQL = "(select sheet, col from v where row < 50 group by sheet, col having count(price) >= {n} and count(price) / count(*)::double >= 0.45)"
 
 
 @query(f"{CELLS_SQL} select sheet, cast(col as integer) as col from {PRICED_SQL.format(n=3)}")
@@ -32,43 +32,20 @@ def price_columns(spark, sf_dir):
     return guesses.price_columns(_cells(spark, sf_dir))
 
 
-@query(CELLS_SQL + r""" select sheet, cast(min(col) as integer) as col from (select sheet, col from v where row <= 25 group by sheet, col
-  having count(*) >= 3 and count(*) filter (regexp_matches(value, '(?i)^[A-Z0-9][A-Z0-9\-_/]{1,20}$') and not regexp_matches(value, '^\$?\s*[\d,]+(\.\d+)?$')) >= 3) group by sheet""")
+@query(CELLS_SQL + r""" select sheet, cast(min(col) as integer) as col from (select sheet, col from v where row < 25 group by sheet, col
+  having count(*) >= 3 and count(*) filter (regexp_matches(value, '(?i)^[A-Z0-9][A-Z0-9\-_/]{1,20}$') and not regexp_matches(value, '^\$?\s*[\d,]+(?:\.\d{1,2})?$')) >= 3) group by sheet""")
 def code_columns(spark, sf_dir):
     return guesses.code_columns(_cells(spark, sf_dir))
 
 
-@query(CELLS_SQL + rf""", n as (select sheet, col, count(*) filter (not regexp_matches(value, '^\$?\s*[\d,]+(\.\d+)?$') and not regexp_matches(value, '^[\d.]+$') and length(value) >= 3
-    and (contains(value, ' ') or length(value) >= 8 or regexp_matches(value, '^[A-Za-z].*[A-Za-z]$'))) as hits from v where row <= 50 group by sheet, col having count(*) >= 5)
+@query(CELLS_SQL + rf""", n as (select sheet, col, count(*) filter (not regexp_matches(value, '^\$?\s*[\d,]+(?:\.\d{{1,2}})?$') and not regexp_matches(value, '^[\d.]+$') and length(value) >= 3
+    and (contains(value, ' ') or length(value) >= 8 or regexp_matches(value, '^[A-Za-z].*[A-Za-z]$'))) as hits from v where row < 50 group by sheet, col having count(*) >= 5)
   select sheet, cast(col as integer) as col, hits from n where hits >= 5 and (sheet, col) not in (select (sheet, col) from {PRICED_SQL.format(n=6)})
   qualify row_number() over (partition by sheet order by hits desc, col) = 1""")
 def name_columns(spark, sf_dir):
     return guesses.name_columns(_cells(spark, sf_dir))
 
 
-@query(CELLS_SQL + """ select sheet, cast(4 as integer) as col, cast(2 as integer) as wholesale from v where row <= 40 and col = 2 group by sheet having count(*) >= 3""")
-def wholesale_columns(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    return guesses.wholesale_columns(cells, cells.filter("col = 4").select("sheet", "col").distinct(), 2.7)
-
-
-HEADERS = [("a", 0, "Price list 2026"), ("a", 1, "Item  #"), ("a", 1, "DESC"), ("a", 1, "Wood"), ("a", 1, "Net"), ("a", 1, "Price"), ("b", 0, "SKU"), ("b", 0, "Style"), ("b", 3, "model"), ("b", 3, "Amount"), ("c", 9, "item"), ("c", 9, "price")]
-
-
-def _headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HEADERS, "sheet string, row int, header string")
-
-
-@query("select * from (values ('a', 'part_number', 'Item  #'), ('a', 'description', 'DESC'), ('a', 'species', 'Wood'), ('a', 'base_price', 'Price'), ('b', 'part_number', 'SKU'), ('b', 'base_price', 'Amount'), ('c', 'part_number', 'item'), ('c', 'base_price', 'price')) t(sheet, field, header)")
-def mapped_columns(spark, sf_dir):
-    return guesses.mapped_columns(_headers(spark))
-
-
-@query("select * from (values ('a', cast(1 as integer)), ('b', cast(3 as integer))) t(sheet, row)")
-def first_usable_row(spark, sf_dir):
-    return guesses.first_usable(_headers(spark))
-
-
 # rows that trip the rules
 
 
