@@ -79,10 +79,10 @@ def upsert(rows: DataFrame, new: DataFrame) -> DataFrame:
     loose = usable.filter(~F.col("_known"))
     first = Window.partitionBy("_key").orderBy("id")
     keyed = usable.filter("_known").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    # rows without identity match nothing, so they form no group
-    known = rows.filter(is_identified()).select(identity().alias("_key"), "id").groupBy("_key").agg(F.max("id").alias("id"))
-    old = rows.join(known.select(F.col("id").alias("_last"), F.col("_key")), F.col("id") == F.col("_last"), "left").withColumn("_top", F.col("_last").isNotNull())
-    both = old.alias("o").join(keyed.alias("n"), (F.col("o._key") == F.col("n._key")) & F.col("o._top"), "full_outer")
+    # only the last row of a configuration can be met; the others and those without identity stay out of the join
+    known = rows.filter(is_identified()).withColumn("_key", identity()).withColumn("_last", F.max("id").over(Window.partitionBy("_key")))
+    top = F.coalesce(F.col("id") == F.col("_last"), F.lit(False))
+    both = known.filter(top).alias("o").join(keyed.alias("n"), F.col("o._key") == F.col("n._key"), "full_outer")
     hit = F.col("n._key").isNotNull()
 
     def value(c: str) -> Column:
@@ -93,7 +93,8 @@ def upsert(rows: DataFrame, new: DataFrame) -> DataFrame:
 
     change = F.when(F.col("o._key").isNull(), "inserted").when(hit, "updated").otherwise("kept")
     merged = both.select(*[value(c).alias(c) for c in COLUMNS], change.alias("change"))
-    return merged.unionByName(loose.select(*COLUMNS, F.lit("inserted").alias("change")))
+    rest = known.filter(~top).select(*COLUMNS).unionByName(rows.filter(~is_identified()).select(*COLUMNS))
+    return merged.unionByName(rest.withColumn("change", F.lit("kept"))).unionByName(loose.select(*COLUMNS, F.lit("inserted").alias("change")))
 
 
 def changes(upserted: DataFrame) -> DataFrame:
