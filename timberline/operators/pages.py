@@ -188,7 +188,7 @@ def column_streams(lines: DataFrame, least: int = 5) -> DataFrame:
     rows = rows.filter(F.col("kind").isin(*kinds)).withColumn("k", F.row_number().over(each.orderBy("line_no"))).withColumn("_of", F.count(F.lit(1)).over(each))
     page = Window.partitionBy("file", "page")
     of = {x: F.max(F.when(F.col("kind") == x, F.col("_of"))).over(page) for x in ("code", "price", "name")}
-    rows = rows.withColumn("_n", F.least(of["code"], of["price"])).withColumn("_names", of["name"]).filter(F.col("_n") >= least)
+    rows = rows.withColumn("_n", F.when(of["code"].isNotNull() & of["price"].isNotNull(), F.least(of["code"], of["price"]))).withColumn("_names", of["name"]).filter(F.col("_n") >= least)
     # names that are many more than prices begin with headings: the last of them count
     far = F.abs(F.col("_names") - F.col("_n")) > F.greatest(F.lit(3.0), F.col("_n") * 0.3)
     shift = F.when((F.col("kind") == "name") & far & (F.col("_names") >= F.col("_n")), F.col("_names") - F.col("_n")).otherwise(0)
