@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.llm import media_columns, mixing, queries
 
@@ -100,3 +101,23 @@ def test_equal_rows_are_taken_in_part(spark, rows, target):
     assert len(got) == len(rows) and all(abs(t - n) <= 10 for t, n in taken.items())
     assert target is None or taken == {float(target): target}
     assert mixing.mix(docs).count() == sum(r.times for r in got)
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.8, 30.0, "some of each"])
+def test_slices_are_even(spark, weight):
+    """Whatever the weights, and with a key that many rows share, no slice is large, and slices rise with the key."""
+    rows = spark.range(60_000).select(F.lit("s").alias("_source"), (F.col("id") % 40_000).cast("string").alias("_id"), F.lit(5).cast("long").alias("_size"))
+    w = F.when(F.col("_id").cast("int") % 3 == 0, 0.01).when(F.col("_id").cast("int") % 3 == 1, 1.0).otherwise(20.0) if isinstance(weight, str) else F.lit(weight)
+    rows = rows.withColumn("_key", mixing.sampling_key(F.col("_id"), F.lit(None).cast("string"), w, 1))
+    got = mixing.sliced(rows).groupBy("_class", "_slice").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("all"), F.min("_key").alias("low"), F.max("_key").alias("high")).orderBy("_class", "_slice").collect()
+    assert sum(r.n for r in got) == 40_000 and sum(r["all"] for r in got) == 60_000
+    assert max(r.n for r in got) <= 1.5 * mixing.SLICE_ROWS
+    assert all(a.high < b.low for a, b in zip(got, got[1:], strict=False))
+
+
+def test_small_slices_give_the_same_mix(spark, sf, monkeypatch):
+    docs = plain.table(spark, [(r.doc_id, r.text, r.source) for r in plain.rows_of(spark, sf)])
+    whole = sorted(map(tuple, mixing.decisions(docs).collect()))
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 2)
+    monkeypatch.setattr(mixing, "CLASSES", 1)
+    assert sorted(map(tuple, mixing.decisions(docs).collect())) == whole

@@ -6,10 +6,12 @@ characters and the fewer of its characters are marks and digits, the higher).  W
 first; what is left of its target is filled with rows in the order of their
 keys, up to the row whose middle lies beyond the rest.
 
-A source may hold any share of all rows, so its prefix sum has two levels:
-rows fall into slices of the key's range, slices are summed and their sums
-accumulated, and rows are accumulated within a slice.  The outcome is one row
-per source (epochs, last key and id taken), so texts are never moved.
+A source may hold any share of all rows, so its prefix sum has three levels:
+rows fall into classes of the key's logarithm, a class with many rows is cut
+evenly into slices, and sums are accumulated over classes, over the slices of
+a class and over the rows of a slice.  Classes are counted first, so slices
+have some SLICE_ROWS rows at most whatever the weights are.  The outcome is one
+row per source (epochs, last key and id taken), so texts are never moved.
 
 Defined results: null and empty texts have size 0 and are taken with 0 words;
 a null source is a source of its own, after all others; where the cut falls
@@ -31,8 +33,12 @@ from .rows import put_away, taken_out
 WEIGHTS = (5, 2, 1)
 #: Words of all targets over words of all sources; a source's target over its size at most.
 SHARE, MOST = 1.5, 2.0
-#: Rows of a slice of the key's range, on average.
+#: Rows of a slice of the key's range, on average, where a class of keys has more.
 SLICE_ROWS = 2000
+#: Classes of keys for each doubling of the key; some 60 doublings occur.
+CLASSES = 64
+#: Up to so many classes, of all sources, their counts are broadcast (under 16 MB).
+BROADCAST_CLASSES = 400_000
 #: Up to so many sources, the table of sources is broadcast (under 1 MB).
 BROADCAST_SOURCES = 10_000
 
@@ -64,7 +70,7 @@ def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, weight: Column
 
 def targets(rows: DataFrame, source_col: str) -> DataFrame:
     """One row per source: size, target, whole epochs and the rest that is left of the target."""
-    by = rows.groupBy(F.col(source_col).alias("_source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    by = rows.groupBy(F.col(source_col).alias("_source")).agg(F.sum("_size").alias("source_size"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1) % len(WEIGHTS) + 1).cast("int"))
     by = by.withColumn("_weight", weight.cast("double")).withColumn("_cap", MOST * F.col("source_size"))
     # the level of a target a unit of weight: sources are filled in the order of cap / weight
@@ -76,13 +82,26 @@ def targets(rows: DataFrame, source_col: str) -> DataFrame:
     by = by.withColumn("target", F.least(F.col("_cap"), F.max("_level").over(every) * F.col("_weight")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     by = by.withColumn("epochs", epochs).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    return by.select("_source", "source_size", "target", "epochs", "_rest", "_rows")
+    return by.select("_source", "source_size", "target", "epochs", "_rest")
 
 
 def _sources(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
 
 
+def sliced(rows: DataFrame) -> DataFrame:
+    """Rows (_source, _key, ...) once each, with _n of how many are equal, their class of keys and their slice in it; (class, slice) rise with the key."""
+    # a key that rows share is one row here, so no slice grows with repeated rows
+    rows = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")))
+    place = F.log2("_key") * CLASSES
+    rows = rows.withColumn("_class", F.floor(place)).withColumn("_part", place - F.col("_class"))
+    counts = written(rows.groupBy(F.col("_source").alias("_s"), F.col("_class").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).alias("_slices")))
+    if counts.count() <= BROADCAST_CLASSES:
+        counts = F.broadcast(counts)
+    rows = rows.join(counts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
+    return rows.withColumn("_slice", F.least(F.col("_slices") - 1, F.floor(F.col("_part") * F.col("_slices")))).drop("_s", "_c", "_slices", "_part")
+
+
 def plan(light: DataFrame) -> DataFrame:
     """One row per source: source_size, target, epochs, and of the last rows that are taken once more _cut (key, id, size), how many of such rows are taken, and whether that is all.
 
@@ -90,16 +109,16 @@ def plan(light: DataFrame) -> DataFrame:
     """
     by = written(targets(light, "_from"))
     rows = light.join(_sources(by), F.col("_from").eqNullSafe(F.col("_source")))
-    slices = F.ceil(F.col("_rows") / SLICE_ROWS)
-    rows = rows.filter("_rest > 0").select("_id", "_source", "_size", "_key", "_rest", F.least(slices - 1, F.floor(slices * (1.0 - F.exp(-F.col("_key") * 0.8)))).alias("_slice"))
-    # a key that rows share is one row here, so no slice grows with repeated rows
-    rows = rows.groupBy("_source", "_slice", "_rest", "_key", "_id", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    rows = sliced(rows.filter("_rest > 0").select("_id", "_source", "_size", "_key", "_rest"))
     words = F.col("_size") * F.col("_n")
-    sums = rows.groupBy("_source", "_slice").agg(F.sum(words).alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_slice")) - F.col("_sum")
-    sums = sums.select(F.col("_source").alias("_s"), F.col("_slice").alias("_m"), before.alias("_before"))
-    within = F.sum(words).over(Window.partitionBy("_source", "_slice").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)) - words
-    rows = rows.withColumn("_within", within).join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_m")))
+    sums = rows.groupBy("_source", "_class", "_slice").agg(F.sum(words).alias("_sum"))
+    in_class = F.sum("_sum").over(Window.partitionBy("_source", "_class").orderBy("_slice")) - F.col("_sum")
+    classes = sums.groupBy(F.col("_source").alias("_s"), F.col("_class").alias("_c")).agg(F.sum("_sum").alias("_of_class"))
+    classes = classes.withColumn("_upto", F.sum("_of_class").over(Window.partitionBy("_s").orderBy("_c")) - F.col("_of_class"))
+    sums = sums.withColumn("_in_class", in_class).join(classes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
+    sums = sums.select(F.col("_source").alias("_t"), F.col("_class").alias("_k"), F.col("_slice").alias("_m"), (F.col("_upto") + F.col("_in_class")).alias("_before"))
+    within = F.sum(words).over(Window.partitionBy("_source", "_class", "_slice").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)) - words
+    rows = rows.withColumn("_within", within).join(sums, F.col("_source").eqNullSafe(F.col("_t")) & (F.col("_class") == F.col("_k")) & (F.col("_slice") == F.col("_m")))
     # the k-th of equal rows is taken if its middle lies within the rest
     left = F.col("_rest") - F.col("_before") - F.col("_within")
     some = F.when(F.col("_size") == 0, F.when(left >= 0, F.col("_n")).otherwise(0)).otherwise(F.least(F.col("_n"), F.floor(left / F.greatest(F.col("_size"), F.lit(1)) + 0.5)))
