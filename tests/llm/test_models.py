@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from timberline.llm import language_id, quality_classifier, quality_rules, queries
+from timberline.llm import language_id, quality_classifier, quality_rules, queries, samples
 from timberline.llm.text_statistics import RATIOS
 
 from . import plain
@@ -104,3 +105,74 @@ def test_long_texts_add_up_in_pieces(monkeypatch):
     whole = language_id.text_logits(table, data, np.array([0, len(data)]))
     monkeypatch.setattr(language_id, "BLOCK_BYTES", 777)
     assert np.array_equal(language_id.text_logits(table, data, np.array([0, len(data)])), whole)
+
+
+def test_labels_of_one_id_are_learned_from(spark, monkeypatch):
+    """More labelled rows than the sample holds, all of one id: trees grow, and reruns grow the same."""
+    monkeypatch.setattr(quality_rules, "SAMPLE_ROWS", 150)
+    docs = [(1, " ".join(plain.sentence(random.Random(k), 60 + k % 9) if k % 2 else f"# $ {k} spam spam spam" for _ in range(3)), None) for k in range(400)]
+    table = plain.table(spark, docs)
+    labels = spark.createDataFrame([(1, k % 2) for k in range(400)], "doc_id long, quality int")
+    counts = quality_rules.statistics(table, "doc_id", "text")
+    first, again = (quality_rules.learn(counts, labels) for _ in range(2))
+    assert len(first.roots) == quality_rules.TREES
+    assert all(np.array_equal(getattr(first, x), getattr(again, x)) for x in ("roots", "feature", "threshold", "left", "right", "value"))
+
+
+def test_flat_trees_score_as_a_walk_does():
+    """The descent of all rows together equals walking every tree from its root, row by row."""
+    rng = np.random.default_rng(3)
+    x = rng.random((700, len(RATIOS)))
+    trees = quality_rules.fit(x, (x[:, 0] + x[:, 1] ** 2 > rng.random(700)).astype(float))
+
+    def walk(row) -> float:
+        total = trees.base
+        for node in trees.roots.tolist():
+            while trees.left[node] != node:
+                node = int(trees.left[node] if row[int(trees.feature[node])] <= trees.threshold[node] else trees.right[node])
+            total += trees.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(trees.score(x[:200]), [walk(r) for r in x[:200]])
+
+
+def test_scorer_equals_a_plain_sum():
+    """Of each text the mean weight of its buckets, ratios within bounds, and the bias, one feature at a time."""
+    rng = np.random.default_rng(8)
+    n = len(RATIOS)
+    scorer = quality_classifier.Scorer(rng.normal(size=quality_classifier.BUCKETS + n), 0.3, rng.random(n), rng.random(n) + 0.1)
+    texts = [b"one two two THREE 4,5", b"", b"a" * 50, b"x y z x y z !"]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ratio = rng.random((len(texts), n))
+    for k, p in enumerate(scorer.score(data, at, ratio).tolist()):
+        found, _ = quality_classifier.hashed(np.frombuffer(texts[k], np.uint8), np.array([0, len(texts[k])]))
+        total = scorer.bias + (sum(scorer.weights[b] for b in found.tolist()) / len(found) if len(found) else 0)
+        for j in range(n):
+            total += max(-5, min(5, (ratio[k, j] - scorer.mean[j]) / scorer.scale[j])) * scorer.weights[quality_classifier.BUCKETS + j]
+        assert abs(p - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def test_logits_are_the_averaged_embeddings_through_the_layer():
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(language_id.BUCKETS, 3))
+    texts = ["kurz", "ein etwas längerer text", "a"]
+    raw = [t.encode() for t in texts]
+    got = language_id.text_logits(table, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, logits in zip(raw, got, strict=True):
+        found = language_id.buckets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tolist()
+        mean = sum(table[b] for b in found) / max(1, len(found))
+        assert np.allclose(logits, mean, atol=1e-5)
+
+
+def test_windows_of_long_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(samples, "SAMPLE_BYTES", 40)
+    monkeypatch.setattr(samples, "WINDOW", 10)
+    texts = ["short", None, *("".join(map(str, range(k, k + 200))) + "é" for k in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.text for r in samples.sample(rows, 1000, "s").collect()]
+    assert len(got) == len(texts) and {"short", None} <= set(got)
+    windows = [t for t in got if t and t != "short"]
+    assert all(len(t) == 10 and any(t in x for x in texts[2:]) for t in windows)
+    assert len({x.index(t) // 100 for t, x in ((t, next(x for x in texts[2:] if t in x)) for t in windows)}) > 4
+    few = samples.sample(rows, 20, "s").collect()
+    assert 0 < len(few) <= 40 and sorted(map(repr, few)) == sorted(map(repr, samples.sample(rows.repartition(5), 20, "s").collect()))

@@ -9,7 +9,7 @@ through which all rows of a batch descend together.
 
 Defined results: null and empty texts have no words and fail the base rules;
 without labels the trees are empty and the base rules alone decide; a label
-that is null is not used; repeated labels of a row count repeatedly.
+that is null is not used; equal labels of equal rows count once.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import written
+from .samples import drawn
 from .text_statistics import COUNTS, MORE, RATIOS, ratios, statistics
 
-#: Trees learn from about so many labelled rows, by a digest of their ids; the driver holds no more than twice as many.
+#: Trees learn from about so many different labelled rows (samples.drawn()); the driver holds no more than twice as many.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAF_ROWS, SHRINK = 40, 4, 0.2, 64, 20, 1.0
 #: Direction in which a ratio may move the score.
@@ -113,10 +114,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 def learn(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Ensemble:
     """Trees from rows of statistics() that have a label."""
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("_id", F.lit("rules")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE_ROWS)
-    rows = counts.join(known, counts[id_col] == known["_id"]).select("_id", "_label", *COUNTS, *MORE).toPandas()
+    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
+    known = counts.join(known, counts[id_col] == known["_id"]).select("_id", "_label", *COUNTS, *MORE)
+    rows = drawn(known, SAMPLE_ROWS, "rules").toPandas()
     rows = rows.sort_values(["_id", "_label"], kind="stable")
     return fit(ratios({c: rows[c].to_numpy() for c in (*COUNTS, *MORE)}), rows["_label"].to_numpy(float))
 
