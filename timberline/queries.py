@@ -513,4 +513,4 @@ def windowed_counts(spark, sf_dir):
     return counts(table(spark, sf_dir, "events"))
 
 
-from . import change_queries, page_queries, service_queries, session_queries, sheet_queries  # noqa: E402, F401  (register more)
+from . import change_queries, page_queries, service_queries, session_queries, sheet_queries, user_queries  # noqa: E402, F401  (register more)
