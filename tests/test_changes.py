@@ -6,9 +6,13 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from timberline import queries
+from timberline.functions import text
 from timberline.operators import changes, sessions
 from timberline.plans.catalog import conform
 
+from .compare import agree
+
 ROW = "id long, vendor string, collection string, part_number string, description string, base_price double, multiplier double, species string, notes string"
 
 
@@ -60,3 +64,27 @@ def test_sessions(spark):
     rows = spark.createDataFrame([("a", "x", 1.0, 2.7), ("c", "y", 1.0, 2.7)], "session_id string, part string, adjusted_price double, multiplier double")
     got = sessions.committed(rows, held, spark.createDataFrame([("a",), ("c",)], "session_id string"), at)
     assert got.columns == ["session_id", "part"] and [r.part for r in got.collect()] == ["x"]
+
+
+def test_last_digits_of_a_number_are_no_year(spark):
+    names = ["Supplier#000002023", "Supplier#000002023 Pricelist 2025.xlsx", "Nobody 2023", "Nobody2024", "MWS 2023 Wholesale Price List"]
+    got = [r.v for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k long, n string").select("k", text.vendor(F.col("n")).alias("v")).orderBy("k").collect()]
+    assert got == ["Supplier#000002023", "Supplier#000002023", "Nobody", "Nobody", "Millers Woodshop"]
+
+
+def test_many_suppliers_agree_with_sql(spark, sf, tmp_path):
+    """Supplier numbers that end like years: two vendors are never made one."""
+    for name in ("lineitem", "part", "supplier"):
+        t = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "lineitem":
+            t = t.withColumn("l_suppkey", F.col("l_suppkey") + 2000)
+        if name == "supplier":
+            t = t.withColumn("s_suppkey", F.col("s_suppkey") + 2000).withColumn("s_name", F.format_string("Supplier#%09d", F.col("s_suppkey")))
+        t.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / f"{name}.file")
+        for left in sorted((tmp_path / name).iterdir()):
+            left.unlink()
+        (tmp_path / name).rmdir()
+        (tmp_path / f"{name}.file").rename(tmp_path / f"{name}.parquet")
+    for name in ("resolve_vendor", "standardize_rows"):
+        assert agree(spark, queries.QUERIES[name], queries.ORACLES[name], str(tmp_path))

@@ -185,7 +185,8 @@ def vendor(name: Column, filename: Column | None = None) -> Column:
     c = F.regexp_replace(c, r"(?i)\s*(wholesale|retail)?\s*(price\s*list|pricelist|pricebook).*$", "")
     c = F.regexp_replace(c, r"\s+\d{1,2}[-_/]\d{1,2}[-_/]\d{2,4}.*$", "")
     c = F.regexp_replace(c, r"(?i)\s*[-_]?\s*(revised|rep|digital|master).*$", "")
-    c = squeeze(F.regexp_replace(c, r"(?i)\s*20\d{2}\s*$", ""))
+    # the last digits of a longer number are no year
+    c = squeeze(F.regexp_replace(c, r"\s*(?<!\d)20\d{2}\s*$", ""))
 
     def hinted(x: Column) -> Column:
         return F.coalesce(*[F.when(x.rlike(rule), F.lit(canon)) for rule, canon in VENDOR_HINTS])
