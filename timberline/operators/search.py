@@ -104,7 +104,10 @@ def holds(term: str) -> Column:
     t = term.strip().lower()
     if not t:
         return F.lit(True)
-    fields = [F.lower(F.coalesce(c, F.lit(""))) for c in SEARCHED] + [F.coalesce(price_text(F.col(c)), F.lit("")) for c in ("base_price", "adjusted_price")]
+    fields = [F.lower(F.coalesce(c, F.lit(""))) for c in SEARCHED]
+    # prices have digits, a point and a sign, so other terms need not look at them
+    if re.fullmatch(r"[-.0-9]+", t):
+        fields += [F.coalesce(price_text(F.col(c)), F.lit("")) for c in ("base_price", "adjusted_price")]
     return reduce(lambda a, b: a | b, [f.contains(t) for f in fields])
 
 
