@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MISSING
-from ..plans.catalog import IDENTITY
+from ..plans.catalog import IDENTITY, dealt
 
 
 def identity() -> Column:
@@ -24,29 +24,31 @@ def is_identified() -> Column:
     return F.concat(*[key[c] for c in IDENTITY]) != ""
 
 
-def duplicate_groups(rows: DataFrame, limit: int = 100) -> DataFrame:
+def duplicate_groups(rows: DataFrame, limit: int = 100, parts: int | None = None) -> DataFrame:
     """Configurations with more than one row, the largest first; fields are the least of the group."""
-    by = rows.groupBy(identity().alias("_key")).agg(*[F.min(c).alias(c) for c in IDENTITY], F.count(F.lit(1)).alias("dup_count"))
+    by = dealt(rows.select(*IDENTITY, identity().alias("_key")), parts, "_key").groupBy("_key").agg(*[F.min(c).alias(c) for c in IDENTITY], F.count(F.lit(1)).alias("dup_count"))
     return by.filter("dup_count > 1").orderBy(F.desc("dup_count"), *[F.col(c).asc_nulls_first() for c in IDENTITY]).select(*IDENTITY, "dup_count").limit(limit)
 
 
-def newest_of_each(rows: DataFrame) -> DataFrame:
+def newest_of_each(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows without older ones of the same configuration; rows without any identity all stay."""
     dated = F.coalesce("imported_at", F.lit("")) != ""
-    order = Window.partitionBy(identity(), F.when(is_identified(), F.lit(0)).otherwise(F.col("id"))).orderBy(dated.desc(), F.col("imported_at").desc_nulls_last(), F.col("id").desc())
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    keyed = rows.withColumn("_key", identity()).withColumn("_loose", F.when(is_identified(), F.lit(0)).otherwise(F.col("id")))
+    order = Window.partitionBy("_key", "_loose").orderBy(dated.desc(), F.col("imported_at").desc_nulls_last(), F.col("id").desc())
+    return dealt(keyed, parts, "_key", "_loose").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_key", "_loose")
 
 
-def cleanup_report(rows: DataFrame) -> DataFrame:
+def cleanup_report(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Groups and surplus rows that newest_of_each would remove."""
-    by = rows.filter(is_identified()).groupBy(identity()).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    by = dealt(rows.filter(is_identified()).select(identity().alias("_key")), parts, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return by.agg(F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_surplus"))
 
 
-def last_of_exact(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of greatest id among rows that agree in keys and rounded wholesale price; one shuffle with map-side aggregation."""
+def last_of_exact(rows: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """The row of greatest id among rows that agree in keys and rounded wholesale price; one shuffle."""
     group = [F.coalesce(F.lower(F.trim(F.col(c))), F.lit("")).alias(f"_{c}") for c in keys] + [F.round("base_price", 2).alias("_price")]
-    return rows.groupBy(*group).agg(F.max(F.struct("id", *[c for c in rows.columns if c != "id"])).alias("_row")).select("_row.*")
+    names = [f"_{c}" for c in keys]
+    return dealt(rows.select("*", *group), parts, *names).groupBy(*names, "_price").agg(F.max(F.struct("id", *[c for c in rows.columns if c != "id"])).alias("_row")).select("_row.*")
 
 
 def best_per(rows: DataFrame, key: str, *order: Column) -> DataFrame:

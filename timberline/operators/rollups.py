@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import WOOD_TIER, is_option, is_wood
 from ..functions.money import exact_mean, retail
 from ..functions.text import stripped
+from ..plans.catalog import dealt
 
 THIN_ROWS = 150
 
@@ -58,9 +59,9 @@ def rollup(rows: DataFrame) -> DataFrame:
     return rows.filter(is_item()).rollup("vendor", "collection").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n_rows"), F.min("base_price").alias("min_base"), F.max("base_price").alias("max_base"))
 
 
-def species_pivot(rows: DataFrame, woods: list[str]) -> DataFrame:
+def species_pivot(rows: DataFrame, woods: list[str], parts: int | None = None) -> DataFrame:
     """Extension: a row per product, a column of prices per wood."""
-    return rows.groupBy("vendor", "part_number").pivot("species", woods).agg(F.min("base_price"))
+    return dealt(rows.select("vendor", "part_number", "species", "base_price"), parts, "vendor", "part_number").groupBy("vendor", "part_number").pivot("species", woods).agg(F.min("base_price"))
 
 
 def one_case(labels: DataFrame, keys: list[str]) -> DataFrame:

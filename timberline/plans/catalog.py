@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Catalog rows that one task sorts or groups at a time.
+TASK_ROWS = 250_000
+
+
+def parts_of(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts the catalog is dealt to: they grow with the order lines, so that a task's share doesn't."""
+    return max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf_dir, "lineitem").count() / TASK_ROWS))
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """rows in so many parts by their keys, a number that adaptive execution leaves alone; as they are if parts is None."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
 def conform(rows: DataFrame) -> DataFrame:
     """rows with exactly the catalog's columns; absent ones are null, line_kind is `item` where absent or null."""
     have = set(rows.columns)
@@ -35,7 +51,8 @@ def conform(rows: DataFrame) -> DataFrame:
 
 def price_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog of all part and supplier pairs that were ever ordered."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_linestatus").alias("status"))
+    # hardly any order line repeats a pair, so grouping before the shuffle would save nothing; the join on parts needs no other one
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus"), parts_of(spark, sf_dir), "l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.min("l_linestatus").alias("status"))
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     rows = lines.join(part, lines["l_partkey"] == part["p_partkey"]).join(supplier, lines["l_suppkey"] == supplier["s_suppkey"])
     kind = F.col("p_partkey") % 4

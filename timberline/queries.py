@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import labels, money, text
 from .operators import cells as sheet
 from .operators import duplicates, pages, pricing, rollups, search, upkeep, writes
-from .plans.catalog import PRICE_BOOK_SQL, price_book, table
+from .plans.catalog import PRICE_BOOK_SQL, parts_of, price_book, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,7 +170,7 @@ def rollup_vendor_collection(spark, sf_dir):
 
 @query("select vendor, part_number, min(case when species = 'Oak' then base_price end) as Oak, min(case when species = 'Oak / Brown Maple' then base_price end) as \"Oak / Brown Maple\" from book group by vendor, part_number")
 def pivot_by_species(spark, sf_dir):
-    return rollups.species_pivot(price_book(spark, sf_dir), ["Oak", "Oak / Brown Maple"])
+    return rollups.species_pivot(price_book(spark, sf_dir), ["Oak", "Oak / Brown Maple"], parts_of(spark, sf_dir))
 
 
 @query("select distinct vendor, coalesce(option_key, case when line_kind = 'addon' then description end) as label from book where coalesce(option_key, case when line_kind = 'addon' then description end) is not null union select distinct vendor, 'Bright Colors' as label from book where species = 'Bright Colors' and line_kind <> 'addon'")
@@ -207,22 +207,23 @@ GROUP_SQL = "lower(trim(vendor)), lower(trim(collection)), lower(trim(part_numbe
 
 @query(f", {DOUBLED_SQL} select min(vendor) as vendor, min(collection) as collection, min(part_number) as part_number, min(species) as species, min(finish_state) as finish_state, cast(null as varchar) as option_key, cast(null as varchar) as dimensions, count(*) as dup_count from doubled group by {GROUP_SQL} having count(*) > 1 order by dup_count desc, vendor, collection, part_number, species, finish_state limit 100")
 def dup_groups(spark, sf_dir):
-    return duplicates.duplicate_groups(_doubled(spark, sf_dir))
+    return duplicates.duplicate_groups(_doubled(spark, sf_dir), parts=parts_of(spark, sf_dir))
 
 
 @query(f", {DOUBLED_SQL} select id from (select id, row_number() over (partition by {GROUP_SQL} order by imported_at desc, id desc) as n from doubled) where n = 1")
 def cleanup_keep_newest(spark, sf_dir):
-    return duplicates.newest_of_each(_doubled(spark, sf_dir)).select("id")
+    return duplicates.newest_of_each(_doubled(spark, sf_dir), parts_of(spark, sf_dir)).select("id")
 
 
 @query(f", {DOUBLED_SQL} select count(*) as n_groups, cast(sum(n - 1) as bigint) as n_surplus from (select count(*) as n from doubled group by {GROUP_SQL} having count(*) > 1)")
 def cleanup_counts(spark, sf_dir):
-    return duplicates.cleanup_report(_doubled(spark, sf_dir))
+    return duplicates.cleanup_report(_doubled(spark, sf_dir), parts_of(spark, sf_dir))
 
 
 @query(f", {DOUBLED_SQL} select max(id) as id from doubled group by lower(vendor), lower(part_number), lower(species), finish_state, lower(description), round(base_price, 2)")
 def exact_dup_keep_max_id(spark, sf_dir):
-    return duplicates.last_of_exact(_doubled(spark, sf_dir), ["vendor", "part_number", "species", "finish_state", "description"]).select("id")
+    keys = ["vendor", "part_number", "species", "finish_state", "description"]
+    return duplicates.last_of_exact(_doubled(spark, sf_dir).select("id", *keys, "base_price"), keys, parts_of(spark, sf_dir)).select("id")
 
 
 @query("select vendor, max(source_file) as source_file, count(*) as n_candidates from (select distinct collection as vendor, source_file from book) group by vendor")
