@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import builder_key, is_item_code, squeeze
+from ..plans.catalog import dealt
 
 # Builders whose lists are left alone, and marks of a bad reading.
 IGNORED = ["green meadows", "simple living"]
@@ -45,15 +46,16 @@ def low_quality(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.coalesce(low, F.lit(True)).alias("low"))
 
 
-def best_rows(rows: DataFrame) -> DataFrame:
+def best_rows(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Of rows with equal part, finish, price and wood the one that says most; of equal part, finish and price those without a wood only if none has one, and then one."""
     text = lambda c: F.coalesce(c, F.lit(""))
     keyed = rows.withColumn("_key", F.struct(text("part_number").alias("p"), text("finish_state").alias("f"), F.round(F.coalesce("base_price", F.lit(0.0)), 2).alias("b"))).withColumn("_wood", text("species"))
     score = F.struct((text("collection") != "").cast("int").alias("c"), F.length(text("description")).alias("d"), (-F.col("id")).alias("i"))
-    best = keyed.groupBy("_key", "_wood").agg(F.max_by(F.struct(*rows.columns), score).alias("_row"))
+    keyed = dealt(keyed.withColumn("_part", F.xxhash64("_key")), parts, "_part")
+    best = keyed.groupBy("_part", "_key", "_wood").agg(F.max_by(F.struct(*rows.columns), score).alias("_row"))
     # a wood of a key, if it has any
-    has = best.groupBy("_key").agg(F.max("_wood").alias("_most"))
-    kept = best.join(has, "_key").filter((F.col("_wood") != "") | (F.col("_most") == ""))
+    most = F.max("_wood").over(Window.partitionBy("_part", "_key"))
+    kept = best.withColumn("_most", most).filter((F.col("_wood") != "") | (F.col("_most") == ""))
     return kept.select("_row.*")
 
 
@@ -63,10 +65,11 @@ def first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("id").alias("id"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in rest])
 
 
-def exact_duplicates(rows: DataFrame) -> DataFrame:
+def exact_duplicates(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """(n_groups): how many groups of rows are equal in vendor, part, wood, finish, description and price."""
     keys = [F.coalesce(c, F.lit("")).alias(c) for c in ("vendor", "part_number", "species", "finish_state", "description")]
-    groups = rows.groupBy(*keys, F.round(F.coalesce("base_price", F.lit(0.0)), 2)).agg(F.count(F.lit(1)).alias("n"))
+    keyed = rows.select(*keys, F.round(F.coalesce("base_price", F.lit(0.0)), 2).alias("price"))
+    groups = dealt(keyed, parts, "vendor", "part_number", "species", "finish_state").groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.count_if(F.col("n") > 1).alias("n_groups"))
 
 

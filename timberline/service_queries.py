@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import money, notes
 from .operators import guesses, layouts, quotes, rollups, search, upkeep, writes
-from .plans.catalog import price_book, table
+from .plans.catalog import parts_of, price_book, table
 from .queries import FOUND, FOUND_SQL, ITEM, query
 
 # sheets made of parts: one per brand, a row per part, seven columns
@@ -82,7 +82,8 @@ b as (select * from r qualify row_number() over (partition by part_number, finis
 select id from b qualify species is not null or max(species) over (partition by part_number, finish_state, base_price) is null""")
 def best_matrix_rows(spark, sf_dir):
     rows = price_book(spark, sf_dir).withColumns({"part_number": F.substring_index("part_number", "-", 1), "species": F.when(F.col("id") % 3 > 0, F.col("species")), "collection": F.when(F.col("id") % 2 == 0, F.col("collection"))})
-    return upkeep.best_rows(rows).select("id")
+    used = rows.select("id", "part_number", "finish_state", "base_price", "species", "collection", "description")
+    return upkeep.best_rows(used, parts_of(spark, sf_dir)).select("id")
 
 
 @query(f"{MESSY_SQL} select part_number, finish_state, min(id) as id, arg_min(description, id) filter (description is not null) as description, arg_min(base_price, id) filter (base_price is not null) as base_price from messy group by part_number, finish_state")
@@ -105,7 +106,7 @@ def not_ignored(spark, sf_dir):
 @query("select count(*) as n_groups from (select 1 from book group by vendor, split_part(part_number, '-', 1), species, finish_state, round(base_price, 2) having count(*) > 1)")
 def exact_duplicate_groups(spark, sf_dir):
     rows = price_book(spark, sf_dir).withColumns({"part_number": F.substring_index("part_number", "-", 1), "description": F.lit(None).cast("string")})
-    return upkeep.exact_duplicates(rows)
+    return upkeep.exact_duplicates(rows, parts_of(spark, sf_dir))
 
 
 # writes
