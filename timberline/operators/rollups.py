@@ -75,18 +75,21 @@ def one_case(labels: DataFrame, keys: list[str]) -> DataFrame:
 def option_facet(rows: DataFrame) -> DataFrame:
     """(vendor, label): labels of charges, stored options, and species that are options."""
     item = is_item()
-    charge = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("option_key", "description", "part_number")])
-    key, kind = stripped(F.col("option_key")), stripped(F.col("species"))
-    label = F.explode(F.array(F.when(~item, charge), F.when(item & is_option(key, True), key), F.when(item & is_option(kind), kind)))
-    return one_case(rows.select("vendor", label.alias("label")).filter("label is not null").distinct(), ["vendor"])
+    charge = F.when(~item, F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("option_key", "description", "part_number")]))
+    # patterns meet distinct values only: Spark would move a filter on these to before distinct(), but not past an array's rows
+    distinct = rows.select("vendor", charge.alias("_charge"), F.when(item, F.col("option_key")).alias("_key"), F.when(item, F.col("species")).alias("_kind")).distinct()
+    key, kind = stripped(F.col("_key")), stripped(F.col("_kind"))
+    label = F.explode(F.array("_charge", F.when(is_option(key, True), key), F.when(is_option(kind), kind)))
+    return one_case(distinct.select("vendor", label.alias("label")).filter("label is not null").distinct(), ["vendor"])
 
 
 def species_facet(rows: DataFrame) -> DataFrame:
     """(vendor, label): single woods of all labels that are no options; wood tiers stay whole."""
-    distinct = rows.select("vendor", stripped(F.col("species")).alias("s")).filter("s != ''").distinct()
-    whole = F.col("s").rlike(WOOD_TIER) | (F.col("s").rlike(r"\d/\d") & ~F.col("s").contains(" / "))
-    atoms = F.when(whole, F.array("s")).otherwise(F.split("s", r"\s*/\s*"))
-    labels = distinct.filter(~is_option(F.col("s"))).select("vendor", F.explode(atoms).alias("label"))
+    s = stripped(F.col("species"))
+    whole = s.rlike(WOOD_TIER) | (s.rlike(r"\d/\d") & ~s.contains(" / "))
+    # conditions stand in the array and rows without labels go later, so that patterns meet distinct values only
+    atoms = F.when((s != "") & ~is_option(s), F.when(whole, F.array(s)).otherwise(F.split(s, r"\s*/\s*")))
+    labels = rows.select("vendor", "species").distinct().select("vendor", F.explode_outer(atoms).alias("label"))
     return one_case(labels.filter(is_wood(F.col("label"))).distinct(), ["vendor"])
 
 
