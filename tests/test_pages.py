@@ -74,6 +74,21 @@ def test_blocks_equal_a_line_by_line_reading(spark, seed):
     assert got(pages.item_blocks(spark.createDataFrame(rows, LINES))) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("pages_of_a_block", [1, 2, 5])
+def test_blocks_of_pages_change_nothing(spark, pages_of_a_block, monkeypatch):
+    rng = random.Random(pages_of_a_block)
+    stock = ["5885 Albany chair", "SU-BT10 stool", "Solid", "$499", "2,000", "N/A", "$10 N/A $12", "$1 $2", "Oak Tables", "Oak Collection", "Red Oak", "chair $5", "AB-1", "Leaves"]
+    lines = {f: sorted((rng.randrange(1, 30), k, rng.choice(stock)) for k in range(150)) for f in range(12)}
+    # a file that sets nothing for many pages, and one that begins with prices
+    lines |= {12: [(1, 0, "5885 Albany chair")] + [(p, 0, "$7") for p in range(2, 20)], 13: [(p, 0, "Solid" if p % 3 else "$8") for p in range(1, 20)]}
+    rows = spark.createDataFrame([(f"f{f}", *x) for f, all_ in lines.items() for x in all_], LINES)
+    few = {name: sorted(map(tuple, reader(rows).collect()), key=repr) for name, (reader, _) in pages.READERS.items()}
+    monkeypatch.setattr(pages, "PAGES", pages_of_a_block)
+    assert {name: sorted(map(tuple, reader(rows, 3).collect()), key=repr) for name, (reader, _) in pages.READERS.items()} == few
+    want = sorted(((f"f{f}", *x) for f, all_ in lines.items() for x in walk([(p, line) for p, _, line in all_])), key=repr)
+    assert got(pages.item_blocks(rows, 3)) == want
+
+
 def test_an_item_may_stand_on_the_page_before_its_prices(spark):
     rows = [("a", 1, 0, "Chairs"), ("a", 1, 1, "5885 Albany"), ("a", 2, 0, "$499"), ("a", 2, 1, "N/A"), ("a", 3, 0, "$511")]
     assert got(pages.item_blocks(spark.createDataFrame(rows, LINES))) == [("a", "5885", "Albany", "Brown Maple / Red Oak", "Chairs", 499.0)]

@@ -1,4 +1,8 @@
-"""Price lists as lines of text (file, page, line_no, line): statistics and ways to read rows out of them."""
+"""Price lists as lines of text (file, page, line_no, line): statistics and ways to read rows out of them.
+
+A file may be of any size: its lines are read in blocks of pages.  Lines may
+come with a column `block` that rises with the page, dealt by file and block.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from .cells import carried
+from .running import carried_over, dealt, with_digests
 
 # Amounts, item codes, sizes, woods, and lines that are furniture of a page.
 MONEY = r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\d+(?:\.\d{2})?)"
@@ -36,6 +40,15 @@ NUMBER_CELL = r"^\d+\.?\d*$"
 PRICE_LABELS = ["Brown Maple / Red Oak", "Cherry / Wormy Maple", "Walnut / Premium", "Species 4", "Species 5", "Species 6", "Species 7", "Species 8"]
 
 
+#: Pages of a block.
+PAGES = 256
+
+
+def blocked(lines: DataFrame, parts: int | None = None) -> DataFrame:
+    """lines with their block of pages, in so many parts."""
+    return lines if "block" in lines.columns else dealt(lines.withColumn("block", F.floor(F.col("page") / PAGES)), parts, "file", "block")
+
+
 def cleaned(lines: DataFrame) -> DataFrame:
     """Lines with single blanks, without empty ones, page numbers and furniture of a page."""
     out = lines.withColumn("line", squeeze(F.col("line"))).filter("line != ''")
@@ -81,12 +94,12 @@ def _with_place(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.struct("page", "line_no")).withColumn("notes", F.lit(None).cast("string"))
 
 
-def inline_prices(lines: DataFrame) -> DataFrame:
+def inline_prices(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Lines that hold a description and its prices."""
-    rows = _with_place(cleaned(lines)).withColumn("prices", amounts(F.col("line")))
+    rows = _with_place(cleaned(blocked(lines, parts))).withColumn("prices", amounts(F.col("line")))
     rows = rows.filter((F.size("prices") > 0) | ~wood_header(F.col("line")))
     head = F.when((F.size("prices") == 0) & ~F.col("line").rlike(r"\d") & F.length("line").between(3, 50) & F.col("line").rlike(SECTION) & ~F.col("line").rlike(NO_SECTION), F.col("line"))
-    rows = carried(rows, head, ["file"], "at", "collection")
+    rows = carried_over(rows, {"collection": head}, ["file"], "block", "at")
     desc = squeeze(F.regexp_replace(F.regexp_replace("line", MONEY, ""), r"^[\s\-–|]+|[\s\-–|]+$", ""))
     rows = rows.withColumn("_d", desc).filter((F.size("prices") > 0) & (F.length("_d") >= 2) & ~F.col("_d").rlike(NO_PRODUCT))
     part, description = _coded(F.col("_d"))
@@ -99,7 +112,7 @@ def _token_value(token: Column) -> Column:
     return F.when(~token.rlike("(?i)^N/?A$"), F.coalesce(F.get(amounts(F.when(token.startswith("$"), token).otherwise(F.concat(F.lit("$"), token))), F.lit(0)), F.nullif(bare, F.lit("")).try_cast("double")))
 
 
-def item_blocks(lines: DataFrame) -> DataFrame:
+def item_blocks(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Items with their prices on the lines below, one a line or several on one; an item may stand on the page before its prices.
 
     A line either sets what is open - an item, nothing after a section or a
@@ -110,7 +123,7 @@ def item_blocks(lines: DataFrame) -> DataFrame:
     these tells the rows apart.  A line for leaves goes with the item above it
     only if that has no price yet, else it is an item itself.
     """
-    rows = _with_place(cleaned(lines))
+    rows = _with_place(cleaned(blocked(lines, parts)))
     line = F.col("line")
     named = line.rlike(BLOCK_SECTION) | (line.rlike(r"^\p{Lu}") & line.contains(" ") & (F.size(F.split(line, " ")) <= 5))
     woods = wood_header(line)
@@ -123,54 +136,66 @@ def item_blocks(lines: DataFrame) -> DataFrame:
         .otherwise("item")
     )
     rows = rows.withColumn("kind", kind).withColumn("sets", F.col("kind").isin("leaf", "prices", "section", "item"))
-    w = Window.partitionBy("file").orderBy("at")
+    # lines above a block's first item or section go with the last block that has one: what is open doesn't cross blocks then, but for the section
+    opens = F.when(F.col("kind").isin("item", "section"), F.col("at"))
+    ends = rows.groupBy("file", "block").agg(F.min(opens).alias("_from"), F.max(F.when(F.col("kind") == "section", F.struct("at", "line"))).alias("_last"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", "_from", F.max(F.when(F.col("_from").isNotNull(), F.col("block"))).over(past).alias("_to"), F.max("_last").over(past).alias("_section"))
+    rows = with_digests(rows, ends, ["file", "block"]).withColumn("_stays", F.coalesce(F.col("at") >= F.col("_from"), F.lit(False)))
+    rows = rows.withColumn("part_of", F.when(F.col("_stays"), F.col("block")).otherwise(F.col("_to"))).withColumn("_section", F.when(F.col("_stays"), F.col("_section.line")))
+    rows = dealt(rows.select("file", "part_of", "page", "at", "line", "kind", "sets", "_section"), parts, "file", "part_of")
+
+    whole = Window.partitionBy("file", "part_of")
+    w = whole.orderBy("at")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     closes = (F.col("kind") == "heads") | (F.col("page") != F.lag("page").over(w))
     rows = rows.withColumn("_closes", F.coalesce(closes, F.lit(False)))
     rows = rows.withColumn("stretch", F.count_if("sets").over(upto)).withColumn("row_of", F.count_if("_closes").over(upto))
-    rows = carried(rows, F.when(F.col("kind") == "section", line), ["file"], "at", "collection")
-    stretch = Window.partitionBy("file", "stretch")
+    # the section before the block holds for its first lines; those that came from blocks below have one in it or above
+    rows = rows.withColumn("section", F.coalesce(F.last(F.when(F.col("kind") == "section", line), ignorenulls=True).over(upto), F.first("_section").over(upto)))
+    stretch = Window.partitionBy("file", "part_of", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_price = F.col("kind") == "price"
     rows = rows.withColumn("priced", F.max(is_price).over(stretch)).withColumn("first_row", F.min(F.when(is_price, F.col("row_of"))).over(stretch))
 
-    sets = rows.filter("sets")
-    before = Window.partitionBy("file").orderBy("at")
-    open_ = F.coalesce(F.lag("kind").over(before).isin("item", "leaf") & ~F.lag("priced").over(before), F.lit(False))
-    sets = sets.withColumn("open", open_).withColumn("starts", (F.col("kind") == "item") | ((F.col("kind") == "leaf") & ~F.col("open")))
-    sets = carried(sets, F.when(F.col("starts"), F.struct("at", "line")), ["file"], "at", "item")
+    # stretches rise with the lines, so this is the order of the lines too, and sorted already
+    upto = whole.orderBy("stretch", "at").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("sets"), F.struct("kind", "priced")), ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", last).withColumn("open", F.coalesce(F.col("_before.kind").isin("item", "leaf") & ~F.col("_before.priced"), F.lit(False)))
+    rows = rows.withColumn("starts", (F.col("kind") == "item") | ((F.col("kind") == "leaf") & ~F.col("open")))
     leaf = F.when(F.col("kind").isin("item", "leaf"), F.struct((~F.col("starts")).alias("is"), F.lit("Solid").alias("text")))
-    sets = carried(sets, leaf, ["file"], "at", "leaf").select("file", "stretch", F.col("kind").alias("opener"), "open", "item", "leaf", F.col("collection").alias("section"), F.col("line").alias("setting"))
-
-    stacked = rows.filter((F.col("kind") == "price") & (F.col("row_of") == F.col("first_row"))).join(sets.filter("opener in ('item', 'leaf')"), ["file", "stretch"])
-    place = Window.partitionBy("file", "stretch").orderBy("at")
-    stacked = stacked.withColumn("pos", F.row_number().over(place) - 1).withColumn("_n", F.count(F.lit(1)).over(stretch)).withColumn("base_price", _token_value(F.col("line")))
-    listed = sets.filter("opener = 'prices' and open").withColumn("_t", F.regexp_extract_all("setting", F.lit(PRICE_TOKEN), F.lit(0))).withColumn("_n", F.size("_t").cast("long"))
-    listed = listed.select("*", F.posexplode("_t").alias("pos", "_token")).withColumn("base_price", _token_value(F.col("_token")))
-    some = ["file", "item", "leaf", "section", "pos", "_n", "base_price"]
-    both = stacked.select(*some).union(listed.select(*some)).filter("base_price is not null")
+    carries = {"item": F.when(F.col("starts"), F.struct("at", "line")), "leaf": leaf, "opener": F.when(F.col("sets"), F.col("kind"))}
+    rows = rows.withColumns({name: F.last(value, ignorenulls=True).over(upto) for name, value in carries.items()})
+
+    stacked = is_price & (F.col("row_of") == F.col("first_row")) & F.col("opener").isin("item", "leaf")
+    listed = (F.col("kind") == "prices") & F.col("open")
+    rows = rows.withColumn("_stacked", stacked).filter(F.col("_stacked") | listed)
+    place = Window.partitionBy("file", "part_of", "stretch").orderBy("at")
+    # a line of prices is a stretch without stacked ones
+    rows = rows.withColumn("_k", F.row_number().over(place) - 1).withColumn("_of", F.count(F.lit(1)).over(stretch))
+    rows = rows.withColumn("_t", F.when(F.col("_stacked"), F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(PRICE_TOKEN), F.lit(0)))).withColumn("_size", F.size("_t").cast("long"))
+    both = rows.select("*", F.posexplode("_t").alias("_pos", "_token")).withColumn("base_price", _token_value(F.col("_token"))).filter("base_price is not null")
+    both = both.withColumn("pos", F.when(F.col("_stacked"), F.col("_k")).otherwise(F.col("_pos"))).withColumn("_n", F.when(F.col("_stacked"), F.col("_of")).otherwise(F.col("_size")))
     part, description = _coded(F.col("item.line"))
     told = F.when(F.col("leaf.is"), F.concat(description, F.lit(" — "), "leaf.text")).otherwise(description)
     return both.select("file", "item.at.page", "item.at.line_no", part.alias("part_number"), told.alias("description"), price_label(F.col("_n"), F.col("pos")).alias("species"), F.col("section").alias("collection"), "base_price", F.lit(None).cast("string").alias("notes"))
 
 
-def price_lines(lines: DataFrame) -> DataFrame:
+def price_lines(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Lines of two and more prices and nothing else belong to the last description above them."""
-    rows = _with_place(cleaned(lines)).withColumn("prices", amounts(F.col("line")))
+    rows = _with_place(cleaned(blocked(lines, parts))).withColumn("prices", amounts(F.col("line")))
     bare = F.length(F.trim(F.regexp_replace("line", PRICE_TOKEN, "")))
     rows = rows.withColumn("is_prices", (F.size("prices") >= 2) & (bare < 8))
     head = (F.size("prices") == 0) & ~F.col("line").rlike(r"\d") & F.length("line").between(3, 50) & F.col("line").rlike(LINE_SECTION)
-    rows = carried(rows, F.when(head, F.col("line")), ["file"], "at", "collection")
     about = (F.size("prices") == 0) & ~head & (F.col("line").rlike(SIZE) | F.col("line").rlike(CODE) | ((F.length("line") >= 4) & ~wood_header(F.col("line"))))
-    rows = carried(rows, F.when(about, F.struct("at", "line")), ["file"], "at", "about")
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("used", F.max(F.when(F.col("is_prices"), F.col("at"))).over(w)).filter("is_prices and about is not null and (used is null or used < about.at)")
+    carries = {"collection": F.when(head, F.col("line")), "about": F.when(about, F.struct("at", "line")), "used": F.when(F.col("is_prices"), F.col("at"))}
+    rows = carried_over(rows, carries, ["file"], "block", "at", above=("used",)).filter("is_prices and about is not null and (used is null or used < about.at)")
     part, description = _coded(F.col("about.line"))
     return _expanded(rows.withColumn("part_number", part).withColumn("description", description))
 
 
-def column_streams(lines: DataFrame, least: int = 5) -> DataFrame:
+def column_streams(lines: DataFrame, parts: int | None = None, least: int = 5) -> DataFrame:
     """Pages that list codes, descriptions, sizes and prices one after the other: the k-th of each belong together."""
-    rows = cleaned(lines).filter(~F.col("line").rlike(STREAM_HEAD))
+    rows = cleaned(blocked(lines, parts)).filter(~F.col("line").rlike(STREAM_HEAD))
     line = F.col("line")
     kind = (
         F.when(line.rlike(STREAM_CODE), "code")
@@ -181,20 +206,21 @@ def column_streams(lines: DataFrame, least: int = 5) -> DataFrame:
     )
     rows = rows.withColumn("kind", kind).filter("kind is not null")
     title = F.trim(F.replace(line, F.lit("Collection"), F.lit("")))
-    sections = rows.groupBy("file", "page").agg(F.max_by(F.when(F.col("kind") == "section", F.coalesce(F.nullif(title, F.lit("")), line)), F.when(F.col("kind") == "section", F.col("line_no"))).alias("_section"))
-    sections = carried(sections, F.col("_section"), ["file"], "page", "collection").select("file", "page", "collection")
-    each = Window.partitionBy("file", "page", "kind")
+    rows = _with_place(rows)
+    section = F.when(F.col("kind") == "section", F.coalesce(F.nullif(title, F.lit("")), line))
+    rows = carried_over(rows, {"collection": section}, ["file"], "block", "at", within="page")
+    page = Window.partitionBy("file", "block", "page")
+    each = Window.partitionBy("file", "block", "page", "kind")
     kinds = ("code", "price", "size", "name")
     rows = rows.filter(F.col("kind").isin(*kinds)).withColumn("k", F.row_number().over(each.orderBy("line_no"))).withColumn("_of", F.count(F.lit(1)).over(each))
-    page = Window.partitionBy("file", "page")
     of = {x: F.max(F.when(F.col("kind") == x, F.col("_of"))).over(page) for x in ("code", "price", "name")}
     rows = rows.withColumn("_n", F.when(of["code"].isNotNull() & of["price"].isNotNull(), F.least(of["code"], of["price"]))).withColumn("_names", of["name"]).filter(F.col("_n") >= least)
     # names that are many more than prices begin with headings: the last of them count
     far = F.abs(F.col("_names") - F.col("_n")) > F.greatest(F.lit(3.0), F.col("_n") * 0.3)
     shift = F.when((F.col("kind") == "name") & far & (F.col("_names") >= F.col("_n")), F.col("_names") - F.col("_n")).otherwise(0)
     rows = rows.withColumn("k", F.col("k") - shift).filter("k between 1 and _n")
-    wide = rows.groupBy("file", "page", "k").agg(*[F.max(F.when(F.col("kind") == x, F.col("line"))).alias(x) for x in kinds])
-    priced = wide.withColumn("base_price", _token_value(F.col("price"))).join(sections, ["file", "page"])
+    wide = rows.groupBy("file", "block", "page", "k").agg(*[F.max(F.when(F.col("kind") == x, F.col("line"))).alias(x) for x in kinds], F.max("collection").alias("collection"))
+    priced = wide.withColumn("base_price", _token_value(F.col("price")))
     return priced.select("file", "page", F.col("k").cast("int").alias("line_no"), F.upper("code").alias("part_number"), F.coalesce("name", F.upper("code")).alias("description"), F.lit(None).cast("string").alias("species"), "collection", "base_price", F.col("size").alias("notes"))
 
 
@@ -224,23 +250,24 @@ def best_table(cells: DataFrame, least: int = 3) -> DataFrame:
     return best.filter(F.col("b.score") >= least).select("file", (-F.col("b._t")).alias("table"), "b.header", "b.rows", "b.score")
 
 
-def readings(lines: DataFrame, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def readings(lines: DataFrame, tables: DataFrame | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of all readers, (file, reader, n, rank)): every reading of a file that found enough, most rows first; tables: cells of the tables that files hold."""
-    parts, names = None, list(READERS)
+    every = None
     for k, (name, (reader, least)) in enumerate(READERS.items()):
-        found = reader(lines).select(*READ, F.lit(name).alias("reader"), F.lit(k + 1).alias("_order"), F.lit(least).alias("_least"))
-        parts = found if parts is None else parts.unionByName(found)
-    counts = parts.groupBy("file", "reader", "_order").agg(F.count(F.lit(1)).alias("n"), F.max("_least").alias("_least")).filter("n >= _least").select("file", "reader", "_order", "n")
+        found = reader(lines, parts).select(*READ, F.lit(name).alias("reader"), F.lit(k + 1).alias("_order"), F.lit(least).alias("_least"))
+        every = found if every is None else every.unionByName(found)
+    counts = every.groupBy("file", "reader", "_order").agg(F.count(F.lit(1)).alias("n"), F.max("_least").alias("_least")).filter("n >= _least").select("file", "reader", "_order", "n")
     if tables is not None:
         counts = counts.union(best_table(tables).select("file", F.lit("tables"), F.lit(0), "rows"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "_order"))
-    return parts.select(*READ, "reader"), counts.select("file", "reader", "n", rank.alias("rank"))
+    return every.select(*READ, "reader"), counts.select("file", "reader", "n", rank.alias("rank"))
 
 
-def best_reading(lines: DataFrame) -> DataFrame:
+def best_reading(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Of each file the rows of the reader that found most, the first of equals, if it found enough."""
-    rows, counts = readings(lines)
-    return rows.join(counts.filter("rank = 1").select("file", "reader"), ["file", "reader"]).select(*READ, "reader")
+    rows, counts = readings(lines, parts=parts)
+    # one row a file; rows of one file are too many to meet it in one task
+    return rows.join(F.broadcast(counts.filter("rank = 1").select("file", "reader")), ["file", "reader"]).select(*READ, "reader")
 
 
 def price_links(pages: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import pages
-from .plans.catalog import table
-from .plans.price_lists import PAGE_LINES_SQL, STREAM_LINES_SQL, page_lines, stream_lines
+from .plans.catalog import parts_of, table
+from .plans.price_lists import LINES_A_PART, PAGE_LINES_SQL, STREAM_LINES_SQL, page_lines, stream_lines
 from .queries import query
 
 
@@ -88,29 +88,33 @@ counted as (select file, reader, o, count(*) as n from every group by file, read
 ranked as (select file, reader, n, cast(row_number() over (partition by file order by n desc, o) as integer) as rank from counted)"""
 
 
+def _parts(spark, sf_dir):
+    return parts_of(spark, sf_dir, "part", LINES_A_PART)
+
+
 @query(f"with recursive {CLEAN_SQL}, {BLOCKS_SQL} select {_ALL} from item_blocks")
 def item_blocks(spark, sf_dir):
-    return pages.item_blocks(page_lines(spark, sf_dir))
+    return pages.item_blocks(page_lines(spark, sf_dir), _parts(spark, sf_dir))
 
 
 @query(f"with {CLEAN_SQL}, {INLINE_SQL} select {_ALL} from inline_prices")
 def inline_prices(spark, sf_dir):
-    return pages.inline_prices(page_lines(spark, sf_dir))
+    return pages.inline_prices(page_lines(spark, sf_dir), _parts(spark, sf_dir))
 
 
 @query(f"with {CLEAN_SQL}, {LINES_SQL} select {_ALL} from price_lines")
 def price_lines(spark, sf_dir):
-    return pages.price_lines(page_lines(spark, sf_dir))
+    return pages.price_lines(page_lines(spark, sf_dir), _parts(spark, sf_dir))
 
 
 @query(f"with recursive {CLEAN_SQL}, {BLOCKS_SQL}, {INLINE_SQL}, {LINES_SQL}, {STREAMS_SQL}, {BEST_SQL} select file, reader, n, rank from ranked")
 def page_readings(spark, sf_dir):
-    return pages.readings(page_lines(spark, sf_dir))[1]
+    return pages.readings(page_lines(spark, sf_dir), parts=_parts(spark, sf_dir))[1]
 
 
 @query(f"with recursive {CLEAN_SQL}, {BLOCKS_SQL}, {INLINE_SQL}, {LINES_SQL}, {STREAMS_SQL}, {BEST_SQL} select {_ALL}, reader from every join ranked using (file, reader) where rank = 1")
 def best_reading(spark, sf_dir):
-    return pages.best_reading(page_lines(spark, sf_dir))
+    return pages.best_reading(page_lines(spark, sf_dir), _parts(spark, sf_dir))
 
 
 @query(f"""with {CLEAN_SQL.replace(PAGE_LINES_SQL.strip(), STREAM_LINES_SQL.strip())},

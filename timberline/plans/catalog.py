@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import retail
+from ..operators.running import dealt
 
 COLUMNS = {
     "id": T.LongType(), "vendor": T.StringType(), "collection": T.StringType(), "part_number": T.StringType(),
@@ -32,14 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS = 250_000
 
 
-def parts_of(spark: SparkSession, sf_dir: str) -> int:
-    """How many parts the catalog is dealt to: they grow with the order lines, so that a task's share doesn't."""
-    return max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf_dir, "lineitem").count() / TASK_ROWS))
-
-
-def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
-    """rows in so many parts by their keys, a number that adaptive execution leaves alone; as they are if parts is None."""
-    return rows.repartition(parts, *keys) if parts else rows
+def parts_of(spark: SparkSession, sf_dir: str, name: str = "lineitem", rows: int = 1) -> int:
+    """How many parts the catalog, or what holds so many rows a row of a table, is dealt to: they grow with the table, so that a task's share doesn't."""
+    return max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf_dir, name).count() * rows / TASK_ROWS))
 
 
 def conform(rows: DataFrame) -> DataFrame:

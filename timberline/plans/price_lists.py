@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import table
+from ..operators.pages import PAGES
+from ..operators.running import dealt, numbered, with_digests
+from .catalog import parts_of, table
 
 #: Parts of a page.
 PAGE_PARTS = 12
+#: Lines that a part has, about.
+LINES_A_PART = 4
 # Lines of a part, each with the condition under which it has it; k: its key, d: its price in whole dollars.
 PART_LINES = [
     ("k % 9 = 0", "concat(upper(substring(p_type, 1, 1)), lower(substring(p_type, 2)), ' Chairs')"),
@@ -36,12 +40,14 @@ PART_LINES = [
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, page, line_no, line): a price list per brand, some lines a part."""
-    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey")).withColumn("d", F.floor("p_retailprice").cast("long"))
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("p_brand").orderBy("k")) - 1)
+    """(file, page, line_no, line, block): a price list per brand, some lines a part; dealt by file and block."""
+    parts = parts_of(spark, sf_dir, "part", LINES_A_PART)
+    p = numbered(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "_r", parts)
+    p = p.withColumn("page", (F.floor(F.col("_r") / PAGE_PARTS) + 1).cast("int")).withColumn("block", F.floor(F.col("page") / PAGES))
+    p = dealt(p, parts, "p_brand", "block").withColumn("k", F.col("p_partkey")).withColumn("d", F.floor("p_retailprice").cast("long"))
     lines = F.array(*[F.expr(f"case when {on} then {text} end") for on, text in PART_LINES])
-    rows = p.select(F.col("p_brand").alias("file"), (F.floor(F.col("_r") / PAGE_PARTS) + 1).cast("int").alias("page"), "_r", F.posexplode(lines).alias("_p", "line")).filter("line is not null")
-    return rows.select("file", "page", (F.col("_r") % PAGE_PARTS * 100 + F.col("_p")).cast("int").alias("line_no"), "line")
+    rows = p.select(F.col("p_brand").alias("file"), "page", "block", "_r", F.posexplode(lines).alias("_p", "line")).filter("line is not null")
+    return rows.select("file", "page", (F.col("_r") % PAGE_PARTS * 100 + F.col("_p")).cast("int").alias("line_no"), "line", "block")
 
 
 _LINES = ", ".join(f"case when {on} then {text} end" for on, text in PART_LINES).replace("as string)", "as varchar)")
@@ -53,13 +59,20 @@ raw_lines as (select file, cast(page as integer) as page, cast(r % {PAGE_PARTS}
 """
 
 
+def typed(p: DataFrame, name: str) -> DataFrame:
+    """Parts with the place of their type among the brand's, from 1; brands and their types are few."""
+    types = p.select("p_brand", "p_type").distinct()
+    return with_digests(p, types.withColumn(name, F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type"))), ["p_brand", "p_type"])
+
+
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, page, line_no, line): a file per brand and a page per type, which list all headings, codes, names, sizes and prices of their parts one after the other."""
-    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey")).withColumn("r", F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")).cast("int"))
-    page = F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_type")).alias("page")
+    """(file, page, line_no, line, block): a file per brand and a page per type, which list all headings, codes, names, sizes and prices of their parts one after the other."""
+    parts = parts_of(spark, sf_dir, "part", len(STREAMS))
+    p = numbered(typed(table(spark, sf_dir, "part"), "page"), ["p_brand", "p_type"], "p_partkey", "_r", parts).withColumn("k", F.col("p_partkey")).withColumn("r", (F.col("_r") + 1).cast("int"))
+    p = dealt(p.withColumn("block", F.col("page")), parts, "p_brand", "block")
     lines = F.array(*[F.expr(f"case when {on} then {text} end") for on, text in STREAMS])
-    rows = p.select(F.col("p_brand").alias("file"), page, "r", F.posexplode(lines).alias("s", "line")).filter("line is not null")
-    return rows.select("file", "page", (F.col("s") * 1_000_000 + F.col("r")).alias("line_no"), "line")
+    rows = p.select(F.col("p_brand").alias("file"), "page", "block", "r", F.posexplode(lines).alias("s", "line")).filter("line is not null")
+    return rows.select("file", "page", (F.col("s") * 1_000_000 + F.col("r")).alias("line_no"), "line", "block")
 
 
 STREAMS = [
