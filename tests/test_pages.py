@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from timberline.operators import pages
+from timberline.operators import pages, running
 
 LINES = "file string, page int, line_no int, line string"
 
@@ -105,6 +105,24 @@ def test_best_reading_is_that_with_most_rows(spark):
     assert {(r.file, r.reader) for r in best} == {("a", "inline_prices"), ("b", "item_blocks")} and len(best) == 12
 
 
+def test_tables_of_many_blocks_score_as_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(running, "BLOCK_VALUES", 3)
+    rng = random.Random(3)
+    stock = ["$5", "1,200", " ", "", None, "call", "7.5", "Item"]
+    rows = [(f"f{t % 3}", t, r, c, rng.choice(stock)) for t in range(12) for r in rng.sample(range(200), 5 * t + 1) for c in range(3)]
+    want = {}
+    for file, t in {x[:2] for x in rows}:
+        cells = [(r, x.strip()) for f, u, r, _, x in rows if (f, u) == (file, t) and x and x.strip()]
+        first = min(x[2] for x in rows if x[:2] == (file, t))
+        header = sum(r == first for r, _ in cells) >= 2
+        kept = sorted({r for r, _ in cells if not header or r > first})
+        score = sum(r in kept[:40] and bool(re.search(pages.MONEY, x) or re.search(pages.NUMBER_CELL, x.replace(",", ""))) for r, x in cells)
+        if len(kept) >= 2:
+            want[file, t] = (header, len(kept), score)
+    found = pages.table_scores(spark.createDataFrame(rows, "file string, table int, row int, col int, text string"), parts=3).collect()
+    assert {(x.file, x.table): (x.header, x.rows, x.score) for x in found} == want and len(want) > 8
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], LINES)
     assert pages.best_reading(empty).count() == 0

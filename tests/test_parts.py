@@ -45,9 +45,10 @@ def test_words_are_not_looked_for_in_prices(spark):
         assert sorted(r.id for r in rows.filter(search.holds(term)).collect()) == ids, term
 
 
-@pytest.mark.parametrize("name", ["best_reading", "page_readings", "item_blocks", "inline_prices", "price_lines", "column_streams"])
+@pytest.mark.parametrize("name", ["best_table", "best_reading", "page_readings", "item_blocks", "inline_prices", "price_lines", "column_streams"])
 def test_no_task_orders_a_whole_file(spark, sf, name, monkeypatch):
     monkeypatch.setattr(catalog, "TASK_ROWS", 20)
     text = plan(queries.QUERIES[name](spark, sf))
     assert not re.search(r"windowspecdefinition\((file|p_brand)#\d+, ((table|p_type|sheet)#\d+, )?(at|row|p_partkey|k)#\d+L? ASC", text)
-    assert f", {catalog.parts_of(spark, sf, 'part', 9 if name == 'column_streams' else 4)}" in text
+    rows = {"column_streams": 9, "best_table": 1}.get(name, 4)
+    assert f", {catalog.parts_of(spark, sf, 'part', rows)}" in text

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from .running import carried_over, dealt, with_digests
+from .running import carried_over, dealt, numbered, with_digests
 
 # Amounts, item codes, sizes, woods, and lines that are furniture of a page.
 MONEY = r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\d+(?:\.\d{2})?)"
@@ -228,25 +228,29 @@ def column_streams(lines: DataFrame, parts: int | None = None, least: int = 5) -
 READERS = {"inline_prices": (inline_prices, 3), "item_blocks": (item_blocks, 5), "price_lines": (price_lines, 5), "column_streams": (column_streams, 5)}
 
 
-def table_scores(cells: DataFrame, most_rows: int = 40) -> DataFrame:
+def table_scores(cells: DataFrame, most_rows: int = 40, parts: int | None = None) -> DataFrame:
     """(file, table, header, rows, score) of tables of cells (file, table, row, col, text); score: amounts and numbers in the first rows.
 
     The first row heads the columns if two of its cells say something; rows
-    without text don't count, and a table needs two.
+    without text don't count, and a table needs two.  Rows are counted before
+    they meet, and numbered in blocks.
     """
-    full = cells.withColumn("text", F.trim("text")).filter("text != ''")
-    first = cells.groupBy("file", "table").agg(F.min("row").alias("_first"))
-    rows = full.join(first, ["file", "table"])
-    heads = rows.filter("row = _first").groupBy("file", "table").agg(F.count(F.lit(1)).alias("_heads"))
-    rows = rows.join(heads, ["file", "table"], "left").filter("row > _first or coalesce(_heads, 0) < 2")
-    rows = rows.withColumn("_k", F.dense_rank().over(Window.partitionBy("file", "table").orderBy("row")))
-    amount = F.col("text").rlike(MONEY) | F.regexp_replace("text", ",", "").rlike(NUMBER_CELL)
-    return rows.groupBy("file", "table").agg((F.max(F.coalesce("_heads", F.lit(0))) >= 2).alias("header"), F.max("_k").cast("long").alias("rows"), F.count_if(amount & (F.col("_k") <= most_rows)).alias("score")).filter("rows >= 2")
-
-
-def best_table(cells: DataFrame, least: int = 3) -> DataFrame:
+    text = F.trim("text")
+    amount = text.rlike(MONEY) | F.regexp_replace(text, ",", "").rlike(NUMBER_CELL)
+    rows = cells.filter("file is not null and table is not null").groupBy("file", "table", "row").agg(F.count_if(text != "").alias("_says"), F.count_if((text != "") & amount).alias("_amounts"))
+    heads = F.min_by("_says", "row") >= 2
+    by = numbered(rows.withColumn("_full", F.col("_says") > 0), ["file", "table", "_full"], "row", "_k", parts).groupBy("file", "table")
+    full, k = F.col("_full"), F.col("_k")
+    # a header is the first of the rows with text, and not one of them
+    plain = F.coalesce(F.sum(F.when(full & (k < most_rows), F.col("_amounts"))), F.lit(0))
+    below = F.coalesce(F.sum(F.when(full & k.between(1, most_rows), F.col("_amounts"))), F.lit(0))
+    out = by.agg(heads.alias("header"), F.count_if(full).alias("_rows"), plain.alias("_plain"), below.alias("_below"))
+    return out.select("file", "table", "header", (F.col("_rows") - F.col("header").cast("long")).alias("rows"), F.when(F.col("header"), F.col("_below")).otherwise(F.col("_plain")).alias("score")).filter("rows >= 2")
+
+
+def best_table(cells: DataFrame, least: int = 3, parts: int | None = None) -> DataFrame:
     """(file, table, header, rows, score): the table of each file with most amounts, then most rows, the first of equals."""
-    best = table_scores(cells).groupBy("file").agg(F.max(F.struct("score", "rows", (-F.col("table")).alias("_t"), "header")).alias("b"))
+    best = table_scores(cells, parts=parts).groupBy("file").agg(F.max(F.struct("score", "rows", (-F.col("table")).alias("_t"), "header")).alias("b"))
     return best.filter(F.col("b.score") >= least).select("file", (-F.col("b._t")).alias("table"), "b.header", "b.rows", "b.score")
 
 
@@ -258,7 +262,7 @@ def readings(lines: DataFrame, tables: DataFrame | None = None, parts: int | Non
         every = found if every is None else every.unionByName(found)
     counts = every.groupBy("file", "reader", "_order").agg(F.count(F.lit(1)).alias("n"), F.max("_least").alias("_least")).filter("n >= _least").select("file", "reader", "_order", "n")
     if tables is not None:
-        counts = counts.union(best_table(tables).select("file", F.lit("tables"), F.lit(0), "rows"))
+        counts = counts.union(best_table(tables, parts=parts).select("file", F.lit("tables"), F.lit(0), "rows"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "_order"))
     return every.select(*READ, "reader"), counts.select("file", "reader", "n", rank.alias("rank"))
 

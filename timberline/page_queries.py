@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import pages
+from .operators.running import numbered
 from .plans.catalog import parts_of, table
-from .plans.price_lists import LINES_A_PART, PAGE_LINES_SQL, STREAM_LINES_SQL, page_lines, stream_lines
+from .plans.price_lists import LINES_A_PART, PAGE_LINES_SQL, STREAM_LINES_SQL, page_lines, stream_lines, typed
 from .queries import query
 
 
@@ -127,10 +128,9 @@ def column_streams(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("row", F.row_number().over(pages.Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")).cast("int") - 1)
+    p = numbered(typed(table(spark, sf_dir, "part"), "table"), ["p_brand", "p_type"], "p_partkey", "row", parts_of(spark, sf_dir, "part")).withColumn("row", F.col("row").cast("int"))
     texts = F.array(F.when(F.col("row") == 0, F.lit("Item")).otherwise(F.col("p_name")), F.when(F.col("p_size") > 25, F.concat(F.lit("$"), F.col("p_size"), F.lit(".00"))).otherwise(""), F.when(F.col("p_size") % 3 == 0, F.lit("1,200")).when(F.col("p_size") % 3 == 1, F.lit(" ")).otherwise("call"))
-    place = F.dense_rank().over(pages.Window.partitionBy("p_brand").orderBy("p_type")).alias("table")
-    return p.select(F.col("p_brand").alias("file"), place, "row", F.posexplode(texts).alias("col", "text"))
+    return p.select(F.col("p_brand").alias("file"), "table", "row", F.posexplode(texts).alias("col", "text"))
 
 
 @query(r"""with p as (select *, row_number() over (partition by p_brand, p_type order by p_partkey) - 1 as row, dense_rank() over (partition by p_brand order by p_type) as t from part),
@@ -140,4 +140,4 @@ b as (select c.*, header, dense_rank() over (partition by file, t order by row)
 s as (select file, t, bool_or(header) as header, max(k) as rows, count(*) filter (k <= 40 and (regexp_matches(text, '\$\s*\d') or regexp_matches(replace(text, ',', ''), '^\d+\.?\d*$'))) as score from b group by file, t having max(k) >= 2)
 select file, cast(t as integer) as "table", header, rows, score from s where score >= 3 qualify row_number() over (partition by file order by score desc, rows desc, t) = 1""")
 def best_table(spark, sf_dir):
-    return pages.best_table(_tables(spark, sf_dir))
+    return pages.best_table(_tables(spark, sf_dir), parts=parts_of(spark, sf_dir, "part"))
