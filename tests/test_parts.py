@@ -52,3 +52,14 @@ def test_no_task_orders_a_whole_file(spark, sf, name, monkeypatch):
     assert not re.search(r"windowspecdefinition\((file|p_brand)#\d+, ((table|p_type|sheet)#\d+, )?(at|row|p_partkey|k)#\d+L? ASC", text)
     rows = {"column_streams": 9, "best_table": 1}.get(name, 4)
     assert f", {catalog.parts_of(spark, sf, 'part', rows)}" in text
+
+
+@pytest.mark.parametrize("name", ["two_row_headers", "header_places"])
+def test_sheets_stay_in_the_parts_they_are_dealt_to(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_ROWS", 20)
+    frame, n = queries.QUERIES[name](spark, sf), catalog.parts_of(spark, sf, "part", 3)
+    assert not re.search(r"windowspecdefinition\(p_brand#\d+, p_partkey#\d+L? ASC", plan(frame))
+    assert plan(frame).count("RepartitionByExpression [file") and f", {n}" in plan(frame)
+    # no shuffle of cells by a number of Spark's own
+    physical = frame._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(file#\d+, sheet#\d+, (8|200)\)|Exchange hashpartitioning\(file#\d+, sheet#\d+, [a-z]+#", physical)

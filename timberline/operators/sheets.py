@@ -64,15 +64,11 @@ def headed(cells: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame,
     """
     cells = cells.withColumn("text", squeeze(F.col("text"))).filter("text != ''")
     heads = header_rows(cells.withColumn("price", cell_price(F.col("text")))) if heads is None else heads
-    rows = cells.join(heads, SHEET).filter("row > header").groupBy(*SHEET, "header").agg(F.min("row").alias("next"))
-    places = heads.join(rows, [*SHEET, "header"], "left")
-    column = cells.select(*SHEET, "col").distinct()
-    # a column's place among those that have cells
-    column = column.withColumn("j", F.row_number().over(Window.partitionBy(*SHEET).orderBy("col")) - 1).join(places, SHEET)
-    top = cells.select(*SHEET, "col", F.col("row").alias("header"), F.col("text").alias("top"))
-    bottom = cells.select(*SHEET, "col", F.col("row").alias("next"), F.col("text").alias("bottom"))
-    grid = column.join(top, [*SHEET, "col", "header"], "left").join(bottom, [*SHEET, "col", "next"], "left")
     sheet = Window.partitionBy(*SHEET)
+    places = cells.join(heads, SHEET).withColumn("next", F.min(F.when(F.col("row") > F.col("header"), F.col("row"))).over(sheet))
+    # the cells of a sheet stay in the part that they were dealt to; a column's place is that among those that have cells
+    top, bottom = (F.max(F.when(F.col("row") == F.col(x), F.col("text"))).alias(y) for x, y in (("header", "top"), ("next", "bottom")))
+    grid = places.groupBy(*SHEET, "header", "next", "col").agg(top, bottom).withColumn("j", F.row_number().over(sheet.orderBy("col")) - 1)
     upto = sheet.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("finish", is_finish_header(F.col("bottom"))).withColumn("two", F.count_if("finish").over(sheet) >= 2)
     past = F.coalesce(F.col("top").rlike(MARKUP_HEADER), F.lit(False)) | F.coalesce(F.col("bottom").rlike(MARKUP_HEADER), F.lit(False))
@@ -87,13 +83,13 @@ def headed(cells: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame,
     grid = grid.withColumn("name", F.when(F.col("two"), two).otherwise(F.coalesce("top", blank)))
 
     part = F.split("name", r" \| ", 2)
-    grid = grid.withColumn("group", F.when(F.col("two") & F.col("name").contains(" | "), part.getItem(0))).withColumn("side", F.lower(part.getItem(1)))
+    grid = grid.withColumn("group", F.when(F.col("two") & F.col("name").contains(" | "), part.getItem(0))).withColumn("side", F.lower(F.get(part, F.lit(1))))
     unf = F.col("side").contains("unf")
-    groups = grid.filter("group is not null").groupBy(*SHEET, "group").agg(F.min("j").alias("_first"), F.max(unf).alias("_unf"), F.max(F.col("side").contains("fin") & ~unf).alias("_fin"))
-    groups = groups.withColumn("_any", F.max("_unf").over(sheet))
+    group, grouped = Window.partitionBy(*SHEET, "group"), F.col("group").isNotNull()
+    grid = grid.withColumn("_first", F.when(grouped, F.min("j").over(group))).withColumn("_unf", F.max(F.when(grouped, unf)).over(group)).withColumn("_fin", F.max(F.when(grouped, F.col("side").contains("fin") & ~unf)).over(group))
+    grid = grid.withColumn("_any", F.max("_unf").over(sheet))
     whole = F.when(F.col("_any"), F.col("_fin") & F.col("_unf")).otherwise(F.col("_fin") | F.col("_unf"))
-    groups = groups.withColumn("complete", F.min(whole).over(sheet.orderBy("_first").rowsBetween(Window.unboundedPreceding, 0))).select(*SHEET, "group", "complete")
-    grid = grid.join(groups, [*SHEET, "group"], "left")
+    grid = grid.withColumn("complete", F.min(whole).over(sheet.orderBy("_first").rangeBetween(Window.unboundedPreceding, 0)))
     name = F.when(F.col("group").isNotNull() & ~F.col("name").startswith("skip_") & ~F.col("complete"), F.concat(F.lit("skip_"), "name")).otherwise(F.col("name"))
     names = numbered_names(grid.select(*SHEET, "col", name.alias("name")))
     body = grid.groupBy(*SHEET, "header").agg(F.max(F.when(F.col("two"), F.col("next")).otherwise(F.col("header"))).alias("body"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cells as grid
 from .operators import guesses, sheets
-from .plans.catalog import table
+from .operators.running import dealt, numbered
+from .plans.catalog import parts_of, table
 from .queries import query
 
 
@@ -17,7 +18,7 @@ def _sql(pattern: str) -> str:
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with their place in the brand, from 0."""
-    return table(spark, sf_dir, "part").withColumn("r", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("int"))
+    return numbered(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "r", parts_of(spark, sf_dir, "part")).withColumn("r", F.col("r").cast("int"))
 
 
 NUMBERED_SQL = "n0 as (select *, row_number() over (partition by p_brand order by p_partkey) as place from part), n as (select * exclude (place), cast(place - 1 as integer) as r from n0)"
@@ -116,8 +117,8 @@ named as (select file, sheet, col, case when row_number() over (partition by fil
 
 def _two_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _numbered(spark, sf_dir).withColumn("j", F.col("r") % 14).withColumn("sheet", F.floor(F.col("r") / 14).cast("string"))
-    cells = _spread(p, TWO_ROWS, "p_brand", "sheet", "j")
-    return cells.select(F.col("p_brand").alias("file"), "sheet", F.element_at(F.array(*map(F.lit, (0, 1, 3))), F.col("col") + 1).alias("row"), F.col("j").alias("col"), "text")
+    cells = _spread(dealt(p.withColumnRenamed("p_brand", "file"), parts_of(spark, sf_dir, "part", len(TWO_ROWS)), "file", "sheet"), TWO_ROWS, "file", "sheet", "j")
+    return cells.select("file", "sheet", F.element_at(F.array(*map(F.lit, (0, 1, 3))), F.col("col") + 1).alias("row"), F.col("j").alias("col"), "text")
 
 
 def _top_rows(cells: DataFrame) -> DataFrame:
