@@ -144,3 +144,18 @@ def test_lines_are_brute_force(spark):
     for r in line_dedup.report(docs).collect():
         t = dict(rows)[r.doc_id]
         assert (r.n_lines, r.n_removed, r.kept_sha256) == (0 if t is None else len(t.split("\n")), len(want.get(r.doc_id, ())), plain.sha((texts[r.doc_id] or "").encode()))
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh ", "".join(map(chr, range(0x4E00, 0x5200)))])
+def test_long_pairs_are_compared_together(letters, monkeypatch):
+    """Pairs of many lengths; only those that nearly agree, or whose letters are too many, are compared one by one."""
+    rng, alone = random.Random(12), []
+    one = edit_similarity._one
+    monkeypatch.setattr(edit_similarity, "_one", lambda *x: alone.append(x) or one(*x))
+    left = ["".join(rng.choices(letters, k=rng.randrange(520, 700))) for _ in range(120)]
+    right = ["".join(rng.choices(letters, k=len(x))) for x in left]
+    for k in range(0, 120, 20):  # copies with changes around the bound
+        right[k] = "x" + "".join(c if rng.random() > (0.15, 0.19, 0.2, 0.21, 0.25, 0.05)[k // 20] else rng.choice(letters) for c in left[k])
+    got = edit_similarity.similar_pairs([x.encode() for x in left], [y.encode() for y in right], 0.8)
+    assert got.tolist() == [one(y, x, int(0.2 * max(len(x), len(y)) + 1e-9)) for x, y in zip(left, right, strict=True)]
+    assert 0 < got.sum() < 7 and len(alone) < 20
