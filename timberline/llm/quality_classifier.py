@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import text_statistics, words
 from .batches import blocks, flat
+from .durable import small_batches
 from .samples import sample
 from .text_statistics import RATIOS
 
@@ -146,6 +147,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], ratio: np.ndarray, labels: np
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Counts vote patterns over all rows, estimates the labellers, and fits a scorer on a sample."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
