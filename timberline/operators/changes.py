@@ -9,7 +9,7 @@ from ..functions.money import DEFAULT_MULTIPLIER
 from ..functions.text import VENDORS, lookup
 from ..plans.catalog import COLUMNS, conform
 from .pricing import orphans_removed
-from .writes import standardized, with_ids
+from .writes import marked, standardized, with_ids
 
 #: A new list needs so many rows; where the old one has more than LARGE, at least FLOOR and so great a share of them.
 LEAST, LARGE, FLOOR, SHARE = 5, 200, 30, 0.05
@@ -26,6 +26,11 @@ def _differs(a: Column, b: Column, kind: str, tolerance: float) -> Column:
     return ~F.coalesce(a.cast("string"), F.lit("")).eqNullSafe(F.coalesce(b.cast("string"), F.lit("")))
 
 
+def _fields(old: str, new: str, kinds: dict[str, str], columns: list[str], tolerance: float) -> Column:
+    """By name the columns in which two structs of a row differ."""
+    return F.array_compact(F.array(*[F.when(_differs(F.col(f"{old}.{c}"), F.col(f"{new}.{c}"), kinds[c], tolerance), F.lit(c)) for c in columns]))
+
+
 def differences(old: DataFrame, new: DataFrame, key: str = "id", columns: list[str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(key, status, fields) of every row of either table: kept, changed (in which fields, by name), dropped or added.
 
@@ -38,7 +43,7 @@ def differences(old: DataFrame, new: DataFrame, key: str = "id", columns: list[s
     o = old.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct(*columns).alias("_o"))
     n = new.filter(F.col(key).isNotNull()).select(F.col(key).alias("_j"), F.struct(*columns).alias("_n"))
     both = o.join(n, F.col("_k") == F.col("_j"), "full_outer")
-    changed = F.array_compact(F.array(*[F.when(_differs(F.col(f"_o.{c}"), F.col(f"_n.{c}"), kinds[c], tolerance), F.lit(c)) for c in columns]))
+    changed = _fields("_o", "_n", kinds, columns, tolerance)
     status = F.when(F.col("_n").isNull(), "dropped").when(F.col("_o").isNull(), "added").when(F.size("fields") > 0, "changed").otherwise("kept")
     fields = F.when(F.col("_n").isNotNull() & F.col("_o").isNotNull(), changed).otherwise(F.array().cast("array<string>"))
     out = both.select(F.coalesce("_k", "_j").alias(key), fields.alias("fields"), "_o", "_n").select(key, status.alias("status"), "fields")
@@ -69,7 +74,21 @@ def renamed_settings(settings: DataFrame) -> DataFrame:
 def standardized_in_place(rows: DataFrame, settings: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, settings, differences) after all rows are standardised: junk goes, settings are renamed, and those of vendors without rows go."""
     clean = standardized(rows, default_multiplier)
-    return clean, orphans_removed(renamed_settings(settings), clean), differences(conform(rows), clean)
+    return clean, orphans_removed(renamed_settings(settings), clean), _marked_differences(marked(rows, default_multiplier))
+
+
+def _marked_differences(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """differences() by id from marked() rows as they were to those that stay; a row's two states stand side by side, so nothing is dealt out."""
+    kinds = dict(rows.dtypes)
+    fields = _fields("_was", "_now", kinds, sorted(c for c in COLUMNS if c != "id"), tolerance)
+    none = F.array().cast("array<string>")
+    known = F.col("id").isNotNull()
+    both = rows.select("id", "_stays", "_was", F.struct(*COLUMNS).alias("_now"))
+    seen = both.select("id", "_stays", F.when(F.col("_stays") & known, fields).otherwise(none).alias("fields"))
+    # a row without an id matches nothing, not even itself
+    status = F.when(~F.col("_stays") | ~known, "dropped").when(F.size("fields") > 0, "changed").otherwise("kept")
+    statuses = F.when(F.col("_stays") & ~known, F.array(status, F.lit("added"))).otherwise(F.array(status))
+    return seen.select("id", F.explode(statuses).alias("status"), "fields")
 
 
 def replacement_plan(rows: DataFrame, new: DataFrame, least: int = LEAST, large: int = LARGE, floor: int = FLOOR, share: float = SHARE) -> DataFrame:

@@ -112,27 +112,42 @@ def addon(vendor: str, label: str, flat: float | None = None, pct: float | None
 NEW_BANNER = r"(?i)^(new(\s*product|\s*items?)?$|new\s+(january|february|march|april|may|june|july|august|september|october|november|december)\b)"
 
 
-def _distinctly(rows: DataFrame, cleaned: dict[str, tuple[Column, list[str]]]) -> DataFrame:
-    """Adds columns computed once for each distinct value of their inputs and joined back."""
-    for name, (expression, inputs) in cleaned.items():
-        keys = [F.col(c).alias(f"_k{k}") for k, c in enumerate(inputs)]
-        table = rows.select(*inputs).distinct().select(*keys, expression.alias(name))
-        rows = rows.join(table, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(inputs)])).drop(*[f"_k{k}" for k in range(len(inputs))])
-    return rows
+def _looked_up(rows: DataFrame, labels: DataFrame, name: str, clean: Column, of: str) -> DataFrame:
+    """rows with `name`, what `clean` makes of the label in `of`; labels are few beside the rows, so each task gets them all and no row is dealt anew."""
+    table = labels.select(F.col("_label").alias("_of"), clean.alias(name))
+    return rows.join(F.broadcast(table), F.col(of) == F.col("_of"), "left").drop("_of")
 
 
 def standardized(rows: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER) -> DataFrame:
-    """Catalog rows with clean labels and prices; rows that name nothing or have no price go.
+    """Catalog rows with clean labels and prices; rows that name nothing or have no price go."""
+    return marked(rows, default_multiplier, drop=True).select(*COLUMNS)
+
+
+def marked(rows: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER, drop: bool = False) -> DataFrame:
+    """All rows (with `drop`, those that stay) with clean labels and prices, as they were (_was, a struct), and whether they stay (_stays): not if they name nothing or have no price.
 
     Labels of woods, collections and vendors are cleaned once per distinct value:
-    in place, their nested expressions would be copied into each other.  A charge with a percentage needs no price.
+    in place, their nested expressions would be copied into each other.  All
+    are found in one pass.  A charge with a percentage needs no price.
     """
-    r = _distinctly(conform(rows), {"_vendor": (text.vendor(F.col("vendor")), ["vendor"]), "_wood": (text.species(F.col("species")), ["species"])})
+    r = conform(rows)
+    labels = r.select(F.explode(F.array("vendor", "species", "collection")).alias("_label")).filter("_label is not null").distinct()
+    label = F.col("_label")
+    r = r.withColumn("_was", F.struct(*COLUMNS))
+    r = _looked_up(_looked_up(r, labels, "_vendor", text.vendor(label), "vendor"), labels, "_wood", text.species(label), "species")
+    stays: list[Column] = []
+
+    def keep(r: DataFrame, on: Column) -> DataFrame:
+        if drop:
+            return r.filter(on)
+        stays.append(F.col(f"_stays{len(stays)}"))
+        return r.withColumn(f"_stays{len(stays) - 1}", F.coalesce(on, F.lit(False)))
+
     raw = F.coalesce("species", F.lit(""))
     cat = lambda c: F.nullif(F.concat(F.lit("Cat. "), F.regexp_extract(F.trim(c), r"(?i)^cat\.?\s*0*(\d+)$", 1)), F.lit("Cat. "))
     r = r.withColumn("_part", text.part(F.col("part_number"))).withColumn("_desc", text.clean_text(F.col("description"))).withColumn("_style", text.clean_text(F.col("collection")))
     fn = F.coalesce(F.col("_vendor") == "FN Chair", F.lit(False))
-    r = r.filter(~(fn & F.coalesce(F.col("source_file").rlike(r"(?i)level[\s_-]*two|two[\s_-]*orange"), F.lit(False))))
+    r = keep(r, ~(fn & F.coalesce(F.col("source_file").rlike(r"(?i)level[\s_-]*two|two[\s_-]*orange"), F.lit(False))))
     tier = F.coalesce(cat(F.col("_part")), cat(F.col("_desc")))
     heal = fn & tier.isNotNull() & F.col("_style").isNotNull() & cat(F.col("_style")).isNull() & ~F.lower("_style").isin("seating", "price", "wholesale", "retail")
     own = cat(F.col("option_key"))
@@ -143,7 +158,7 @@ def standardized(rows: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER
     r = r.withColumn("_desc", F.when(F.col("_heal") | (F.col("_good") & (F.col("_desc").isNull() | cat(F.col("_desc")).isNotNull())), F.concat("_part", dash, "_cat")).otherwise(F.col("_desc")))
     promote = F.col("_part").isNull() & text.is_item_code(F.col("_desc"))
     r = r.withColumn("_up", promote).withColumn("_part", F.when(F.col("_up"), F.col("_desc")).otherwise(F.col("_part"))).withColumn("_desc", F.when(F.col("_up"), F.lit(None)).otherwise(F.col("_desc")))
-    r = r.filter(~(text.is_junk_species(F.col("species")) & F.col("_wood").isNull()))
+    r = keep(r, ~(text.is_junk_species(F.col("species")) & F.col("_wood").isNull()))
     size = F.coalesce(F.col("_wood").rlike(r"^[\d./\s×xX\-]+$"), F.lit(False))
     r = r.withColumn("_size", size).withColumn("dimensions", F.coalesce(text.clean_text(F.col("dimensions")), F.when(F.col("_size"), F.col("_wood")))).withColumn("_wood", F.when(~F.col("_size"), F.col("_wood")))
     tiered = F.coalesce(F.col("_wood").startswith("Wood Tier"), F.lit(False))
@@ -152,13 +167,14 @@ def standardized(rows: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER
     r = r.withColumn("finish_state", F.when(tiered & F.trim(raw).rlike("(?i)^unf"), "unfinished").otherwise(F.coalesce(said, hinted, F.lit("finished"))))
     named = F.when(F.col("_heal") | F.col("_good"), F.lit(None).cast("string")).otherwise(F.col("collection"))
     r = r.withColumn("_named", named)
-    r = _distinctly(r, {"_coll": (text.collection(F.col("_named"), F.col("_vendor")), ["_named", "_vendor"])})
+    # a vendor's own collection stands where none is left
+    r = _looked_up(r, labels, "_coll", text.collection(label, F.lit(None).cast("string")), "_named").withColumn("_coll", F.coalesce("_coll", text.lookup(F.col("_vendor"), text.DEFAULT_COLLECTIONS)))
     premium = F.coalesce(F.col("_wood").rlike(r"(?i)\s*/\s*premium\s*$"), F.lit(False))
     r = r.withColumn("_premium", premium).withColumn("option_key", F.coalesce(text.clean_text(F.col("option_key")), "_cat", F.when(F.col("_premium"), F.lit("Premium"))))
     r = r.withColumn("_wood", F.when(F.col("_premium"), F.trim(F.regexp_replace("_wood", r"(?i)\s*/\s*premium\s*$", ""))).otherwise(F.col("_wood")))
     r = r.withColumn("_desc", F.coalesce("_desc", "_part")).withColumn("line_kind", F.when(F.lower(F.trim("line_kind")) == "addon", "addon").otherwise("item"))
     priced = (F.col("base_price") > 0) | ((F.col("line_kind") == "addon") & F.col("addon_pct").isNotNull())
-    r = r.filter(F.coalesce(priced, F.lit(False)) & F.col("_desc").isNotNull() & ~F.col("_desc").rlike(NEW_BANNER))
+    r = keep(r, F.coalesce(priced, F.lit(False)) & F.col("_desc").isNotNull() & ~F.col("_desc").rlike(NEW_BANNER))
     r = r.withColumn("multiplier", F.when(F.col("multiplier") > 0, F.col("multiplier")).otherwise(default_multiplier)).withColumn("base_price", F.when(F.col("base_price") > 0, cents(F.col("base_price"))))
     r = r.withColumn("species_tier", F.coalesce("species_tier", F.when(tiered, F.regexp_extract("_wood", r"(\d+)$", 1).try_cast("int"))))
     out = {"vendor": "_vendor", "part_number": "_part", "description": "_desc", "species": "_wood", "collection": "_coll"}
@@ -167,4 +183,4 @@ def standardized(rows: DataFrame, default_multiplier: float = DEFAULT_MULTIPLIER
     for c in ("unit", "notes", "source_file"):
         r = r.withColumn(c, text.clean_text(F.col(c)))
     r = r.withColumn("price_basis", F.lit("wholesale")).withColumn("adjusted_price", retail(F.col("base_price"), F.col("multiplier")))
-    return r.select(*COLUMNS)
+    return r.select(*COLUMNS, "_was", reduce(lambda a, b: a & b, stays, F.lit(True)).alias("_stays"))
